@@ -82,10 +82,10 @@ r as (
   from p join s on p.conv_id is not distinct from s.conv_id),
 a as (
   select *, coalesce(sum(length(head) + length(body)) over (
-      partition by conv_id, speaker, chunk order by pos rows between unbounded preceding and 1 preceding), 0) as at from r)
+      partition by conv_id, speaker, chunk order by pos rows between unbounded preceding and 1 preceding), 0) as start from r)
 select conv_id, speaker, chunk, count(*) as n_turns,
   string_agg(head || body, '' order by pos) as rendered,
-  coalesce(string_agg(cast(at + length(head) as bigint) || '-' || cast(at + length(head) + length(body) as bigint), ',' order by pos) filter (own), '') as mask,
+  coalesce(string_agg(cast(start + length(head) as bigint) || '-' || cast(start + length(head) + length(body) as bigint), ',' order by pos) filter (own), '') as mask,
   cast(coalesce(sum(length(body)) filter (own), 0) as bigint) as masked_chars
 from a group by conv_id, speaker, chunk
 """
