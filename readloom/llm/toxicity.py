@@ -60,17 +60,10 @@ def swapped(text: str) -> str | None:
     return "".join(_TERM.sub(lambda m: _NEXT[m[1].lower()], s) for s in _SENTENCE.findall(text))
 
 
-_sequences: dict[str, tuple[str, ...]] = {}
-
-
-def sequences(word: str) -> tuple[str, ...]:
+def sequences(word: str) -> set[str]:
     """The features of a word."""
-    if (found := _sequences.get(word)) is None:
-        w = f" {word} "
-        found = tuple({w[i : i + n] for n in LENGTHS for i in range(len(w) - n + 1)})
-        if len(_sequences) < 100_000:
-            _sequences[word] = found
-    return found
+    w = f" {word} "
+    return {w[i : i + n] for n in LENGTHS for i in range(len(w) - n + 1)}
 
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +77,7 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.update((f, y) for f in {f for w in set(plain(text).split()) for f in sequences(w)})
-            if len(counts) > 1_000_000:
+            if len(counts) > 300_000:
                 yield out()
     yield out()
 
