@@ -77,7 +77,7 @@ def _parts(n: int) -> list[int]:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each length, so that the words come as near budget as can be without passing it."""
+    """Documents to take of each length, so that the words come near budget: the fullest sum within it, or one document more if that is nearer."""
     total = int((lengths * counts).sum())
     budget = min(budget, total)
     take = np.zeros(len(lengths), np.int64)
@@ -97,6 +97,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     where = {int(w): i for i, w in enumerate(lengths)}
     for w, n in knapsack(map(int, lengths), map(int, free), int(left)).items():
         take[where[w]] += n
+        left -= w * n
+    over = np.where((counts > take) & (lengths > left), lengths - left, left)  # one more document may come nearer from above
+    if len(over) and over.min() < left:
+        take[over.argmin()] += 1
     return take
 
 

@@ -9,8 +9,8 @@ Bound: features and weights are learnt from at most MAX_LABELLED labelled rows,
 given by the caller. Statistics of features are summed by shuffles, the chosen ones (at most FEATURES) go to the driver. Every document is scored
 whole, by one pass of an automaton of the chosen sequences.
 
-Defined results: null and empty texts have no feature and score as the intercept says; nothing labelled, or one class alone: every
-score is that class's share (0.5 without labels); a document with several labels is toxic if one is; rows without a label are not learnt from;
+Defined results: null and empty texts have no feature and score as the intercept says; nothing labelled, or one class alone, leaves
+nothing to tell apart: every score is 0.5; a document with several labels is toxic if one is; rows without a label are not learnt from;
 repeated rows score alike.
 """
 
@@ -116,7 +116,7 @@ def fit(y: np.ndarray, own: list[list[int]], other: list[list[int] | None], n: i
     """Weights and intercept that minimise log loss + L2 |w|^2 / 2 + penalty times the mean squared change over counterfactuals; damped Newton steps."""
     share = float(y.mean()) if len(y) else 0.5
     if n == 0 or share in (0.0, 1.0):
-        return np.zeros(n), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return np.zeros(n), 0.0
     x = np.zeros((len(y), n + 1), np.float32)
     x[:, n] = 1
     for i, f in enumerate(own):
@@ -164,8 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], np.ndar
     sizes = dict(sample.groupBy("y").count().collect())
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
-        share = bad / (bad + good) if bad + good else 0.5
-        return [], np.zeros(0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+        return [], np.zeros(0), 0.0
     seen = sample.repartition("text").mapInArrow(_occurrences, "f string, y long, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("a"), F.sum(F.expr("if(y = 1, 0, n)")).alias("b"))
     n = bad + good
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
