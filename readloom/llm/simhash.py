@@ -9,7 +9,9 @@ forest; members of larger ones are indexed exactly under all fingerprints with t
 at most four. So no link between different fingerprints is lost and nothing grows with the square of a bucket.
 
 `near_duplicates` works on documents and five-word shingles: its fingerprints are of eight 32-bit segments over the distinct
-words, candidates by the same one-bit variants are verified by the exact similarity of their shingle sets.
+words, candidates by the same one-bit variants are verified by the exact similarity of their shingle sets. Buckets of up to PAIRS_UP_TO
+give all pairs; larger ones a star and a chain, so that candidates grow with documents and not with the square of a group: a link of two
+texts that meet in large buckets alone, and that are each unlike the bucket's first member and their neighbour, is not seen.
 
 Defined results: null and empty texts have fingerprint zero and link like others; exact copies share a fingerprint; null
 doc_ids are kept and belong to their fingerprint's component; repeated rows are kept by `link_documents`.
@@ -138,7 +140,8 @@ def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 # ---- near-duplicate documents -----------------------------------------------------------------
 
 SEGMENTS = 8
-PAIRS_UP_TO = 24
+PAIRS_UP_TO = 8
+MEMBERS = 64
 FAR = 72  # of 256 bits; pairs at similarity 0.8 differ in 22, with a deviation of 5
 _WIDE = "struct<" + ",".join(f"s{i}:long" for i in range(SEGMENTS)) + ">"
 
@@ -171,44 +174,58 @@ def _shingles(k: int):
     return run
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tid) by key and tid: all pairs of a small bucket; of a large one each member with the first two and the one before it. Holds PAIRS_UP_TO rows."""
-    seen: set[tuple[int, int]] = set()
-    key, own, n = None, [], 0
+class _Bucket:
+    """Members of a bucket as they come, those without the left-out bit first; holds MEMBERS of either side at most.
+
+    Pairs that agree in the whole segment meet under all its 32 variants and are told under the first alone; pairs that differ in the
+    left-out bit are told here. So each pair is told once for each segment that brings it together."""
+
+    def __init__(self, key: int):
+        self.first = (key >> 32) % 32 == 0
+        self.side: tuple[list[int], list[int]] = ([], [])
+        self.n, self.last = [0, 0], [0, 0]
+
+    def add(self, bit: int, tid: int, told: set[tuple[int, int]]) -> None:
+        side, n = self.side[bit], self.n[bit]
+        if self.first and n:
+            if n < PAIRS_UP_TO:
+                told.update((x, tid) for x in side)
+            else:
+                told.update({(side[0], tid), (self.last[bit], tid)})
+        self.n[bit], self.last[bit] = n + 1, tid
+        if n < MEMBERS:
+            side.append(tid)
 
-    def pairs() -> None:
-        if n <= PAIRS_UP_TO:
-            seen.update((own[i], own[j]) for i in range(len(own)) for j in range(i + 1, len(own)))
+    def close(self, told: set[tuple[int, int]]) -> None:
+        few, many = sorted(self.side, key=len)
+        told.update((min(x, y), max(x, y)) for x in few for y in (many if len(many) <= 4 else many[:2]))
+
+
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, bit, tid) in this order to pairs (a, b), a < b: all of small buckets, a star and a chain of large ones."""
+    told: set[tuple[int, int]] = set()
+    key, bucket = None, _Bucket(0)
 
     def out() -> pa.RecordBatch:
-        rows = list(seen)
-        seen.clear()
+        rows = list(told)
+        told.clear()
         return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        keys, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keys, bits, tids = (batch.column(i).to_numpy() for i in range(3))
         same = np.zeros(len(keys) + 1, bool)
         same[1:-1] = keys[1:] == keys[:-1]
         if len(keys):
             same[0] = key is not None and keys[0] == key
             same[-1] = True  # the last row's bucket may go on
         for i in np.flatnonzero(same[:-1] | same[1:]).tolist():  # single rows have no pairs
-            k, t = int(keys[i]), int(tids[i])
-            if k != key:
-                pairs()
-                key, own, n = k, [], 0
-            n += 1
-            if n <= PAIRS_UP_TO:
-                own.append(t)
-            else:
-                if n == PAIRS_UP_TO + 1:
-                    for j in range(1, len(own)):
-                        seen.update({(own[0], own[j]), (own[min(1, j - 1)], own[j]), (own[j - 1], own[j])})
-                seen.update({(own[0], t), (own[1], t), (own[-1], t)})
-                own[2:] = [t]
-        if len(seen) > 50_000:
+            if (k := int(keys[i])) != key:
+                bucket.close(told)
+                key, bucket = k, _Bucket(k)
+            bucket.add(int(bits[i]), int(tids[i]), told)
+        if len(told) > 50_000:
             yield out()
-    pairs()
+    bucket.close(told)
     yield out()
 
 
@@ -221,8 +238,8 @@ def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     wide = written(keyed.mapInArrow(_wide, "doc_id long, tid long, " + ", ".join(f"{s} long" for s in segments)), "wide")
     texts = wide.groupBy("tid").agg(*(F.min(s).alias(s) for s in segments))
     variants = texts.select("tid", F.posexplode(F.array(*segments)).alias("s", "v")).select("tid", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
-    rows = variants.select(F.expr("shiftleft(cast(s * 32 + j as bigint), 32) | (v & ~shiftleft(1L, j))").alias("key"), "tid")
-    met = rows.repartition("key").sortWithinPartitions("key", "tid").mapInArrow(_candidates, "a long, b long")
+    rows = variants.select(F.expr("shiftleft(cast(s * 32 + j as bigint), 32) | (v & ~shiftleft(1L, j))").alias("key"), F.expr("cast(shiftright(v, j) & 1 as tinyint)").alias("bit"), "tid")
+    met = rows.repartition("key").sortWithinPartitions("key", "bit", "tid").mapInArrow(_candidates, "a long, b long")
     pairs = met.distinct()
     one = lambda name: texts.select(F.col("tid").alias(name), F.array(*segments).alias(f"{name}_v"))
     near = pairs.join(one("a"), "a").join(one("b"), "b").where(F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x) <= FAR)
