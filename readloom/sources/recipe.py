@@ -40,4 +40,6 @@ from r
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (ordinal, name1, seq1, plus1, qual1, name2, seq2, plus2, qual2) of a data folder."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    if orders.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        orders = orders.repartition(cores)  # keys alone are dealt out; a single row group would keep all reads in one task
     return spark.sql(READS_SQL.replace("from orders", "from {orders}"), orders=orders)
