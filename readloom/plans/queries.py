@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import exprs
 from readloom.operators import chain as ch
-from readloom.operators import dedup, profile, sinks
+from readloom.operators import dedup, overrep, profile, sinks
 from readloom.options import Options
 from readloom.sources.recipe import READS_SQL, reads
 
@@ -329,6 +329,22 @@ def kmer5(spark, d) -> DataFrame:
     return profile.kmers(profile.long_form(reads(spark, d)))
 
 
+# ---- over-represented sequences ---------------------------------------------------------------
+
+
+@query("""select sequence, count(*) as n from (select substr(seq1, i, k) as sequence from (
+select seq1, k, unnest(range(1, length(seq1) - k + 1)) as i from (select seq1, unnest([10, 20, 40, 100, 148]) as k from (
+select seq1, coalesce(sum(length(seq1)) over (order by ordinal rows between unbounded preceding and 1 preceding), 0) as before from reads) where before < 1510000)))
+group by sequence having count(*) >= case when length(sequence) >= 100 then 5 when length(sequence) >= 40 then 20 when length(sequence) >= 20 then 100 else 500 end""")
+def overrep_windows(spark, d) -> DataFrame:
+    return overrep.window_counts(reads(spark, d))[0]
+
+
+@query()
+def overrepresented(spark, d) -> DataFrame:
+    return overrep.overrepresented(reads(spark, d))
+
+
 # ---- duplicates -------------------------------------------------------------------------------
 
 _DUP = ", d as (select *, row_number() over (partition by regexp_replace(concat(seq1, seq2), '[^ACGT]', 'N', 'g') order by ordinal) > 1 as duplicate from reads)\n"

@@ -11,7 +11,7 @@ import pytest
 from readloom.functions import mates
 from readloom.functions.mates import Mates
 from readloom.operators import chain as ch
-from readloom.operators import dedup, profile, sinks
+from readloom.operators import dedup, overrep, profile, sinks
 from readloom.options import Options
 from readloom.plans.queries import ORACLE_SQL, QUERIES
 from readloom.sources import fastq
@@ -213,3 +213,42 @@ def test_written_records_keep_their_order(spark, tmp_path):
     lines = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "o").glob("part-*"))).splitlines(True)
     names = [r[1] for r in fastq.records(lines)]
     assert names == [r["record"].split("\n")[0] for r in out.orderBy("ordinal").collect()]
+
+
+def test_overrepresented_equals_a_plain_loop(spark):
+    r = random.Random(7)
+    seqs, (whole, part) = random_reads(1200, 5, low=60, high=150), random_reads(2, 6, low=150, high=150)
+    for i in range(0, 1200, 3):
+        seqs[i] = whole
+        at = r.randrange(30)
+        seqs[i + 1] = seqs[i + 1][:at] + part[:30] + seqs[i + 1][at:120]
+    ids, table = range(1200), spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq1 string")
+    counts = {}
+    for s in seqs:
+        for k in (10, 20, 40, 100, 148):
+            for i in range(max(0, len(s) - k)):
+                counts[s[i : i + k]] = counts.get(s[i : i + k], 0) + 1
+    least = {10: 500, 20: 100, 40: 20, 100: 5, 148: 5}
+    counts = {s: n for s, n in counts.items() if n >= least[len(s)]}
+    assert counts == {r["sequence"]: r["n"] for r in overrep.window_counts(table)[0].collect()}
+    for s in sorted(counts):
+        if any(s in x and x != s and counts[s] // n < 10 for x, n in counts.items()):
+            del counts[s]
+    want = {}
+    for o, s in zip(ids, seqs, strict=True):
+        for k in (10, 20, 40, 100, 148) if o % 2 == 0 else ():
+            i = 0
+            while i < len(s) - k:
+                if s[i : i + k] in counts:
+                    want[s[i : i + k]] = want.get(s[i : i + k], 0) + 1
+                    i += k
+                i += 1
+    want = {s: n for s, n in want.items() if 2 * n > {10: 500, 20: 200, 40: 100, 100: 50}.get(len(s), 20)}
+    assert want and want == {r["sequence"]: r["n"] for r in overrep.overrepresented(table, sampling=2).collect()}
+
+
+def test_overrepresented_of_no_reads(spark):
+    none = spark.createDataFrame([], "ordinal long, seq1 string")
+    assert overrep.overrepresented(none).collect() == []
+    odd = spark.createDataFrame([(0, None), (0, ""), (1, "A" * 9), (20, "ACGT" * 30)], "ordinal long, seq1 string")
+    assert overrep.overrepresented(odd).count() == 0
