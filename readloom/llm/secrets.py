@@ -106,17 +106,24 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
-    """Spans (start, end, score) of literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    """Spans (start, end, score) of literals that reach a sensitive name, directly or through constants.
+
+    A use of a name means its latest assignment before, so sensitivity flows from the last assignment back to the first, once each."""
+    latest: dict[str, int] = {}
+    found: list[tuple[float, list[tuple[int, int]], list[int]]] = []
     for target, literals, names in pairs(text):
-        reached = list(dict.fromkeys(literals + [x for name in names for x in constants.get(name, ())]))
-        constants[target] = reached[:64]
-        if sensitive := name_score(target):
-            for span in reached:
-                score = sensitive * value_score(text[span[0] : span[1]])
-                if score > best.get(span, 0.0):
-                    best[span] = score
+        used = [latest[name] for name in names if name in latest]
+        latest[target] = len(found)
+        found.append((name_score(target), literals, used))
+    reached = [x[0] for x in found]
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(found) - 1, -1, -1):
+        _, literals, used = found[i]
+        for j in used:
+            reached[j] = max(reached[j], reached[i])
+        for span in literals if reached[i] else ():
+            if (score := reached[i] * value_score(text[span[0] : span[1]])) > best.get(span, 0.0):
+                best[span] = score
     return [(a, b, s) for (a, b), s in best.items() if s >= LITERAL_SCORE]
 
 

@@ -155,6 +155,14 @@ def test_secrets_keep_the_base_and_follow_constants(spark, odd):
     assert told("SECRET_TOKEN=q8Zk39sLm2pT\nname=plain") == ["q8Zk39sLm2pT"]
 
 
+def test_constants_flow_through_chains_of_any_length():
+    values = [f"Kq7-{i:03d}-Zp9xW" for i in range(100)]
+    text = "v0 = '" + values[0] + "'\n" + "".join(f"v{i} = v{i - 1} + '{x}'\n" for i, x in enumerate(values) if i)
+    assert not secrets.lexed(text)
+    assert {text[a:b] for a, b, _ in secrets.lexed(text + "password = v99\n")} == set(values)
+    assert {text[a:b] for a, b, _ in secrets.lexed(text + "v99 = 1\npassword = v99\n")} == set()
+
+
 def test_tokens_round_trip_and_keyed_access(spark, odd, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(r[0] + 100, r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     folder = f"file://{tmp_path}/ids"
