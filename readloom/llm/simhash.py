@@ -10,8 +10,10 @@ at most four. So no link between different fingerprints is lost and nothing grow
 
 `near_duplicates` works on documents and five-word shingles: its fingerprints are of eight 32-bit segments over the distinct
 words, candidates by the same one-bit variants are verified by the exact similarity of their shingle sets. Buckets of up to PAIRS_UP_TO
-give all pairs; larger ones a star and a chain, so that candidates grow with documents and not with the square of a group: a link of two
-texts that meet in large buckets alone, and that are each unlike the bucket's first member and their neighbour, is not seen.
+give all pairs; larger ones first a star and a chain, which unite nearly all of a group of copies without all its pairs. What those leave
+out is made good exactly: every bucket that left pairs out and whose members are not yet of one component is dealt out in pairs of blocks
+of BLOCK members, and all its pairs of different components within FAR bits are verified. So all texts that share a variant and are
+similar enough are linked.
 
 Defined results: null and empty texts have fingerprint zero and link like others; exact copies share a fingerprint; null
 doc_ids are kept and belong to their fingerprint's component; repeated rows are kept by `link_documents`.
@@ -142,6 +144,7 @@ def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 SEGMENTS = 8
 PAIRS_UP_TO = 8
 MEMBERS = 64
+BLOCK = 2048
 FAR = 72  # of 256 bits; pairs at similarity 0.8 differ in 22, with a deviation of 5
 _WIDE = "struct<" + ",".join(f"s{i}:long" for i in range(SEGMENTS)) + ">"
 
@@ -185,6 +188,11 @@ class _Bucket:
         self.side: tuple[list[int], list[int]] = ([], [])
         self.n, self.last = [0, 0], [0, 0]
 
+    @property
+    def left_out(self) -> bool:
+        """Whether a pair of this bucket was not told."""
+        return (self.first and max(self.n) > PAIRS_UP_TO) or (min(self.n) > 0 and max(self.n) > 4)
+
     def add(self, bit: int, tid: int, told: set[tuple[int, int]]) -> None:
         side, n = self.side[bit], self.n[bit]
         if self.first and n:
@@ -202,15 +210,24 @@ class _Bucket:
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, bit, tid) in this order to pairs (a, b), a < b: all of small buckets, a star and a chain of large ones."""
+    """Rows (key, bit, tid) in this order to pairs (a, b), a < b: all of small buckets, a star and a chain of large ones.
+
+    A bucket that leaves pairs out adds a row (its key, null)."""
     told: set[tuple[int, int]] = set()
+    full: list[int] = []
     key, bucket = None, _Bucket(0)
 
     def out() -> pa.RecordBatch:
-        rows = list(told)
+        rows = [*told, *((k, None) for k in full)]
         told.clear()
+        full.clear()
         return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["a", "b"])
 
+    def close() -> None:
+        bucket.close(told)
+        if bucket.left_out:
+            full.append(key)
+
     for batch in batches:
         keys, bits, tids = (batch.column(i).to_numpy() for i in range(3))
         same = np.zeros(len(keys) + 1, bool)
@@ -220,15 +237,54 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same[-1] = True  # the last row's bucket may go on
         for i in np.flatnonzero(same[:-1] | same[1:]).tolist():  # single rows have no pairs
             if (k := int(keys[i])) != key:
-                bucket.close(told)
+                close()
                 key, bucket = k, _Bucket(k)
             bucket.add(int(bits[i]), int(tids[i]), told)
         if len(told) > 50_000:
             yield out()
-    bucket.close(told)
+    close()
     yield out()
 
 
+def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, x, y, block, bit, tid, root, s0...) by (key, x, y) to all pairs of unlike roots within FAR bits, of the blocks x and y.
+
+    Pairs of one side of the left-out bit belong to the first variant of their segment alone; a group holds two blocks at most."""
+    held: list[np.ndarray] = []
+    group = None
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        m = np.concatenate(held) if held else np.zeros((0, 7 + SEGMENTS), np.int64)
+        held.clear()
+        fp = np.ascontiguousarray(m[:, 7:].astype(np.uint32)).view(np.uint64)
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for i in range(len(m) - 1):
+            rest = slice(i + 1, None)
+            ok = m[rest, 6] != m[i, 6]
+            if m[i, 1] != m[i, 2]:
+                ok &= m[rest, 3] != m[i, 3]
+            if (int(m[i, 0]) >> 32) % 32:
+                ok &= m[rest, 4] != m[i, 4]
+            at = np.flatnonzero(ok) + i + 1
+            at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1, dtype=np.int64) <= FAR]
+            found.append(np.stack([np.minimum(m[at, 5], m[i, 5]), np.maximum(m[at, 5], m[i, 5])], axis=1))
+            if i == len(m) - 2 or sum(map(len, found)) > 50_000:
+                out = np.concatenate(found)
+                found = [out[:0]]
+                yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        for part in np.split(rows, cuts):
+            if len(part):
+                if group is not None and tuple(part[0, :3]) != group:
+                    yield from pairs()
+                group = tuple(part[0, :3])
+                held.append(part)
+    yield from pairs()
+
+
 def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(tid, root) of texts that have near duplicates and are not their group's least tid; tid is the text's xxhash64."""
     ship(docs.sparkSession)
@@ -239,20 +295,39 @@ def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     texts = wide.groupBy("tid").agg(*(F.min(s).alias(s) for s in segments))
     variants = texts.select("tid", F.posexplode(F.array(*segments)).alias("s", "v")).select("tid", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j"))
     rows = variants.select(F.expr("shiftleft(cast(s * 32 + j as bigint), 32) | (v & ~shiftleft(1L, j))").alias("key"), F.expr("cast(shiftright(v, j) & 1 as tinyint)").alias("bit"), "tid")
-    met = rows.repartition("key").sortWithinPartitions("key", "bit", "tid").mapInArrow(_candidates, "a long, b long")
-    pairs = met.distinct()
+    met = written(rows.repartition("key").sortWithinPartitions("key", "bit", "tid").mapInArrow(_candidates, "a long, b long"), "met")
     one = lambda name: texts.select(F.col("tid").alias(name), F.array(*segments).alias(f"{name}_v"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose shingle sets are similar enough."""
+        close = written(pairs, "close")
+        needed = close.select(F.col("a").alias("tid")).unionByName(close.select(F.col("b").alias("tid"))).distinct()
+        held = keyed.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>")
+        sets = written(held.dropDuplicates(["tid"]), "sets")
+        both = close.join(sets.select(F.col("tid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("set").alias("y")), "b")
+        alike = both.withColumn("n", F.size(F.array_intersect("x", "y"))).where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n")))
+        links = written(alike.select("a", "b"), "near")
+        drop_written(sets)
+        drop_written(close)
+        return links
+
+    pairs = met.where("b is not null").distinct()
     near = pairs.join(one("a"), "a").join(one("b"), "b").where(F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x) <= FAR)
-    close = written(near.select("a", "b"), "close")
-    needed = close.select(F.col("a").alias("tid")).unionByName(close.select(F.col("b").alias("tid"))).distinct()
-    held = keyed.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>")
-    sets = written(held.dropDuplicates(["tid"]), "sets")
-    both = close.join(sets.select(F.col("tid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = written(both.withColumn("n", common).where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "near")
-    drop_written(sets)
-    drop_written(close)
-    return components(links).select(F.col("node").alias("tid"), "root")
+    links = verified(near.select("a", "b"))
+    roots = components(links)
+    full = met.where("b is null").select(F.col("a").alias("key"))
+    if not full.isEmpty():
+        members = rows.join(full, "key").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        mixed = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n"), "mixed")
+        if not mixed.isEmpty():
+            dealt = members.join(mixed, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(tid), blocks) as int)"))
+            grid = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "bit", "tid", "root")
+            told = grid.join(texts, "tid").select("key", "x", "y", "block", "bit", "tid", "root", *segments).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+            more = verified(told.mapInArrow(_across, "a long, b long").distinct())
+            roots = components(links.unionByName(more))
+        drop_written(mixed)
+    drop_written(met)
+    return roots.select(F.col("node").alias("tid"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
