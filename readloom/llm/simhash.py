@@ -10,10 +10,11 @@ at most four. So no link between different fingerprints is lost and nothing grow
 
 `near_duplicates` works on documents and five-word shingles: its fingerprints are of eight 32-bit segments over the distinct
 words, candidates by the same one-bit variants are verified by the exact similarity of their shingle sets. Buckets of up to PAIRS_UP_TO
-give all pairs; larger ones first a star and a chain, which unite nearly all of a group of copies without all its pairs. What those leave
-out is made good exactly: every bucket that left pairs out and whose members are not yet of one component is dealt out in pairs of blocks
-of BLOCK members, and all its pairs of different components within FAR bits are verified. So all texts that share a variant and are
-similar enough are linked.
+give all pairs; larger ones first a star and a chain, which unite most of a group of copies without all its pairs. What those leave out
+is made good exactly. In every bucket that left pairs out and whose members are not yet of one component, a star goes out from the
+medoid. Buckets that are still not of one component are dealt out in pairs of blocks, of BLOCK members and BLOCK * 1024 shingles or so; a
+kernel joins their sets by rare shingles and gives a spanning forest of links between components. So all texts that share a
+variant, are within FAR bits and are similar enough come together.
 
 Defined results: null and empty texts have fingerprint zero and link like others; exact copies share a fingerprint; null
 doc_ids are kept and belong to their fingerprint's component; repeated rows are kept by `link_documents`.
@@ -246,43 +247,88 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, block, bit, tid, root, s0...) by (key, x, y) to all pairs of unlike roots within FAR bits, of the blocks x and y.
-
-    Pairs of one side of the left-out bit belong to the first variant of their segment alone; a group holds two blocks at most."""
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Rows (key, x, y, block, bit, tid, root, s0..., set) by (key, x, y) to one matrix of each group, its fingerprints as four words, its sets."""
     held: list[np.ndarray] = []
-    group = None
+    sets: list = []
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        m = np.concatenate(held) if held else np.zeros((0, 7 + SEGMENTS), np.int64)
+    def whole() -> tuple[np.ndarray, np.ndarray, list]:
+        m, own = np.concatenate(held), sets.copy()
         held.clear()
-        fp = np.ascontiguousarray(m[:, 7:].astype(np.uint32)).view(np.uint64)
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for i in range(len(m) - 1):
-            rest = slice(i + 1, None)
-            ok = m[rest, 6] != m[i, 6]
-            if m[i, 1] != m[i, 2]:
-                ok &= m[rest, 3] != m[i, 3]
-            if (int(m[i, 0]) >> 32) % 32:
-                ok &= m[rest, 4] != m[i, 4]
-            at = np.flatnonzero(ok) + i + 1
-            at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1, dtype=np.int64) <= FAR]
-            found.append(np.stack([np.minimum(m[at, 5], m[i, 5]), np.maximum(m[at, 5], m[i, 5])], axis=1))
-            if i == len(m) - 2 or sum(map(len, found)) > 50_000:
-                out = np.concatenate(found)
-                found = [out[:0]]
-                yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        sets.clear()
+        return m, np.ascontiguousarray(m[:, 7:].astype(np.uint32)).view(np.uint64), own
 
     for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        for part in np.split(rows, cuts):
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: 7 + SEGMENTS]], axis=1)
+        low = 0
+        for part in np.split(rows, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1):
             if len(part):
-                if group is not None and tuple(part[0, :3]) != group:
-                    yield from pairs()
-                group = tuple(part[0, :3])
+                if held and (held[0][0, :3] != part[0, :3]).any():
+                    yield whole()
                 held.append(part)
-    yield from pairs()
+                if batch.num_columns > 7 + SEGMENTS:
+                    sets += [x.values.to_numpy(zero_copy_only=False) for x in batch.column(7 + SEGMENTS)[low : low + len(part)]]
+                low += len(part)
+    if held:
+        yield whole()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group the pairs of its medoid (nearest to the majority of bits: of copies of one text, most likely that text) and all of other roots."""
+    for m, fp, _ in _parts(batches):
+        bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        at = int(np.bitwise_count(fp ^ majority(bits, len(m)).view(np.uint64)).sum(axis=1, dtype=np.int64).argmin())
+        others = m[(m[:, 6] != m[at, 6]) & (np.bitwise_count(fp ^ fp[at]).sum(axis=1, dtype=np.int64) <= FAR), 5]
+        yield _pairs(others, np.full(len(others), m[at, 5]))
+
+
+def _across(similarity: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group the links of a spanning forest over its roots: pairs of the blocks x and y within FAR bits, of similar enough sets.
+
+        Sets that similar share one of their rarest members: of n, the first n - ceil(similarity * n) + 1 in the group's order of rarity.
+        Pairs of one side of the left-out bit belong to the first variant of their segment alone."""
+        for m, fp, sets in _parts(batches):
+            size = np.array([len(x) for x in sets], np.int64)
+            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            rank = np.empty(len(count), np.int64)
+            rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+            parts = np.split(rank[place], np.cumsum(size)[:-1])
+            seen: dict[int, list[int]] = {}
+            above: dict[int, int] = {}
+            links: list[tuple[int, int]] = []
+
+            def top(r: int) -> int:
+                while r in above:
+                    r = above[r]
+                return r
+
+            first = (int(m[0, 0]) >> 32) % 32 == 0
+            for i, own in enumerate(parts):
+                rare = np.sort(own)[: int(len(own) * (1 - similarity) + 1e-9) + 1].tolist()
+                at = np.array(sorted({j for r in rare for j in seen.get(r, ())}), np.int64)
+                if len(at):
+                    ok = (np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1, dtype=np.int64) <= FAR) & (np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]))
+                    if m[i, 1] != m[i, 2]:
+                        ok &= m[at, 3] != m[i, 3]
+                    if not first:
+                        ok &= m[at, 4] != m[i, 4]
+                    for j in at[ok].tolist():
+                        if (x := top(int(m[i, 6]))) != (y := top(int(m[j, 6]))):
+                            n = len(np.intersect1d(own, parts[j], assume_unique=True))
+                            if n >= similarity * (size[i] + size[j] - n):
+                                above[x] = y
+                                links.append((int(m[i, 5]), int(m[j, 5])))
+                for r in rare:
+                    seen.setdefault(r, []).append(i)
+            if links:
+                yield _pairs(*np.array(links, np.int64).T)
+
+    return run
 
 
 def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -316,15 +362,28 @@ def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     links = verified(near.select("a", "b"))
     roots = components(links)
     full = met.where("b is null").select(F.col("a").alias("key"))
-    if not full.isEmpty():
+    for last in () if full.isEmpty() else (False, True):
         members = rows.join(full, "key").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
         mixed = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n"), "mixed")
         if not mixed.isEmpty():
-            dealt = members.join(mixed, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(tid), blocks) as int)"))
-            grid = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "bit", "tid", "root")
-            told = grid.join(texts, "tid").select("key", "x", "y", "block", "bit", "tid", "root", *segments).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            more = verified(told.mapInArrow(_across, "a long, b long").distinct())
-            roots = components(links.unionByName(more))
+            inside = members.join(mixed, "key")
+            sets, weight = None, F.lit(0)
+            if last:
+                held = keyed.join(inside.select("tid").distinct(), "tid", "left_semi").select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>")
+                sets = written(held.dropDuplicates(["tid"]), "sets")
+                sized = inside.join(sets.select("tid", F.size("set").alias("size")), "tid")
+                inside, weight = inside.join(written(sized.groupBy("key").agg(F.sum("size").alias("weight")), "weights"), "key"), F.col("weight")
+            blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(weight / (BLOCK * 1024)), F.lit(1)).cast("int")
+            dealt = inside.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(tid), blocks) as int)"))
+            met_by = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")) if last else F.col("block"))
+            grid = met_by.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "bit", "tid", "root")
+            told = grid.join(texts, "tid").select("key", "x", "y", "block", "bit", "tid", "root", *segments)
+            told = told.join(sets, "tid").select(*told.columns, "set") if last else told
+            told = told.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "tid").mapInArrow(_across(similarity) if last else _stars, "a long, b long").distinct()
+            links = links.unionByName(told if last else verified(told))
+            roots = components(links)
+            if last:
+                drop_written(sets)
         drop_written(mixed)
     drop_written(met)
     return roots.select(F.col("node").alias("tid"), "root")
