@@ -133,6 +133,28 @@ def test_near_duplicates_of_five_word_shingles(spark):
     assert got == sorted([(False, 10 * g) for g in range(30)] + [(False, 1000), (True, None)])
 
 
+@pytest.mark.parametrize("large", [2, 8])
+def test_block_edits_are_linked_as_by_brute_force(spark, monkeypatch, large):
+    """A passage appended, cut off or replaced at a similarity just over and under 0.8: every pair that is similar enough comes together."""
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", large)
+    r, texts = random.Random(11), ["", " ", "a b"]
+    word = lambda: f"{r.choice('abcdefghij')}{r.randrange(3000)}"
+    notice = [word() for _ in range(40)]
+    for _ in range(40):
+        n = r.randint(60, 400)
+        base = [word() for _ in range(n)] + (notice if r.random() < 0.4 else [])
+        n, k = len(base), int(len(base) * r.uniform(0.05, 0.25))
+        at = r.randrange(n - k)
+        edits = [[*base, *(word() for _ in range(k))], base[k:], base[: n - k], [*base[:at], *(word() for _ in range(k // 2)), *base[at + k // 2 :]]]
+        texts += [" ".join(x) for x in (base, *edits)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    tids = [x[0] for x in docs.orderBy("doc_id").select(F.xxhash64("text")).collect()]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [(tids[a], tids[b]) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x["tid"]: x["root"] for x in simhash.text_groups(docs).collect()}
+    assert {t: got.get(t, t) for t in tids} == plain_components(tids, alike)
+
+
 def plain_secrets(text):
     """The base patterns as they are stated."""
     kinds = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
