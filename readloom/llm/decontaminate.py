@@ -5,7 +5,8 @@ repeats weigh) are compared through a multi-index: the 64 bits are cut into RADI
 agree in one block at least, so looking up every block finds all of them. Candidates are verified exactly: the weighted Jaccard
 similarity of their shingle multisets is at least 0.8.
 
-Only windows that hold a shingle of the item in about its place can be that similar, so an automaton of all items' shingles first finds those places,
+Only windows that hold a shingle of the item in about its place, or the first or last window of a text that begins or ends inside the item,
+can be that similar, so an automaton of all items' shingles first finds those places,
 in one pass over each text; a document without any costs no window.
 
 The benchmark is the stated query set. It is processed in blocks of at most BLOCK_BYTES of text, each broadcast; a benchmark of
@@ -121,7 +122,9 @@ class Items:
             seen_end = first
             for at, i in self.places[g]:
                 n = self.items[at][1]
-                starts[n].update(range(max(0, seen_words - i - SLACK), min(len(words) - n, seen_words - i + SLACK) + 1))
+                last = len(words) - n
+                start = min(max(seen_words - i, 0), last)  # an item cut at either end of the text is held against the first or last window
+                starts[n].update(range(max(0, start - SLACK), min(last, start + SLACK) + 1))
         best: dict[int, tuple[float, int, int]] = {}
         for n, places in starts.items():
             order = sorted(places)

@@ -357,6 +357,17 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_items_cut_at_either_end_of_a_text_are_found():
+    words = [f"w{i}" for i in range(50)]
+    rest, index = [f"r{i}" for i in range(20)], decontaminate.Items([(7, " ".join(words))])
+    whole = Counter(decontaminate.shingles(words))
+    for k in range(9):
+        for text in (words[k:] + rest, rest + words[: 50 - k]):
+            windows = [decontaminate.weighted_jaccard(whole, Counter(decontaminate.shingles(text[s : s + 50]))) for s in range(len(text) - 49)]
+            want = [(7, max(windows))] if max(windows) >= 0.8 else []
+            assert [x[:2] for x in index.find(" ".join(text))] == want and bool(want) == (k <= 5)
+
+
 def test_language_model_base_and_gradients(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got = lm.score_documents(docs, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))).collect()
