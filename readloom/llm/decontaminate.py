@@ -1,6 +1,6 @@
 """Benchmark decontamination: item-sized SimHash windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window of a document has as many words as the item it is held against. Window and item fingerprints (64 bits over five-word shingles,
+A window of a document has as many words as the item it is held against; of a text with fewer words it is the whole text. Window and item fingerprints (64 bits over five-word shingles,
 repeats weigh) are compared through a multi-index: the 64 bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS bits
 agree in one block at least, so looking up every block finds all of them. Candidates are verified exactly: the weighted Jaccard
 similarity of their shingle multisets is at least 0.8.
@@ -122,13 +122,13 @@ class Items:
             seen_end = first
             for at, i in self.places[g]:
                 n = self.items[at][1]
-                last = len(words) - n
+                last = max(0, len(words) - n)
                 start = min(max(seen_words - i, 0), last)  # an item cut at either end of the text is held against the first or last window
                 starts[n].update(range(max(0, start - SLACK), min(last, start + SLACK) + 1))
         best: dict[int, tuple[float, int, int]] = {}
         for n, places in starts.items():
             order = sorted(places)
-            m = n - min(SHINGLE, n) + 1  # shingles in a window
+            m = min(n, len(words)) - min(SHINGLE, n) + 1  # shingles in a window
             runs = np.split(np.array(order), np.flatnonzero(np.diff(order) > m) + 1) if order else []
             for run in runs:
                 low = int(run[0])

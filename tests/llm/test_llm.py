@@ -368,6 +368,16 @@ def test_items_cut_at_either_end_of_a_text_are_found():
             assert [x[:2] for x in index.find(" ".join(text))] == want and bool(want) == (k <= 5)
 
 
+def test_texts_shorter_than_the_item_are_one_window():
+    words = [f"w{i}" for i in range(50)]
+    index = decontaminate.Items([(7, " ".join(words)), (8, "w0 w1 w2 w3 w4 w5"), (9, "w1 w2 w3")])
+    for k in range(1, 50):
+        for text in (words[k:], words[: 50 - k], words[k // 2 : 50 - (k - k // 2)]):
+            score = decontaminate.weighted_jaccard(Counter(decontaminate.shingles(words)), Counter(decontaminate.shingles(text)))
+            assert [x[:4] for x in index.find(" ".join(text)) if x[0] == 7] == ([(7, score, 0, 1)] if score >= 0.8 else [])
+    assert [x[0] for x in index.find("w0 w1 w2 w3 w4")] == [9] and index.find("w1 w2") == []
+
+
 def test_language_model_base_and_gradients(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got = lm.score_documents(docs, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))).collect()
