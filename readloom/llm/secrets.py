@@ -32,7 +32,9 @@ BASE_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: How sensitive a part of a target name is.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "authkey": 0.9, "auth": 0.6}
-NAME_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "access", "auth")
+#: The letters of a text hold one of these wherever a target name is sensitive: parts are joined over anything but letters.
+NAME_HINTS = tuple(x.encode() for x in SENSITIVE if not any(y != x and y in x for y in SENSITIVE))
+NO_LETTERS = bytes(x for x in range(256) if not chr(x).isascii() or not chr(x).isalpha())
 LITERAL_SCORE = 0.6
 
 TOKEN = re.compile(
@@ -138,7 +140,8 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
         found += [("access", *m.span(), 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if HEX_RUN.search(text):
         found += [("hex", *m.span(), 1.0) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
-    if any(x in low for x in NAME_HINTS):
+    letters = text.encode("utf-8", "surrogatepass").translate(None, NO_LETTERS).lower()
+    if any(x in letters for x in NAME_HINTS):
         found += [("literal", *x) for x in lexed(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -205,6 +205,17 @@ def test_secrets_keep_the_base_and_follow_constants(spark, odd):
     assert told("SECRET_TOKEN=q8Zk39sLm2pT\nname=plain") == ["q8Zk39sLm2pT"]
 
 
+def test_every_sensitive_name_passes_the_gate():
+    value = "q8Zk39sLm2pT"
+    names = [f"{x[:i]}{s}{x[i:]}" for x in secrets.SENSITIVE for i in range(len(x)) for s in ("", "_", "-", ".", "$_", "\u0130") if i or not s]
+    names += [n.upper() for n in names] + ["stripe.api.key", "passPhrase", "pass_word", "accessKey", "private_key"]
+    texts = [f'{{"{n}": "{value}"}}' for n in names] + [f'{n[: n.find(".")]} ["{n[n.find(".") + 1 :]}"] = "{value}"' for n in names if "." in n]
+    texts += [f"stripe.api.key={value}", f'api["key"] = "{value}"', f"pass_phrase: {value}", f"pass_word = '{value}'"]
+    for t in texts:
+        assert [x[1:] for x in secrets.scan(t) if x[0] == "literal"] == sorted(secrets.lexed(t))
+    assert all(secrets.lexed(t) for t in texts[-4:])
+
+
 def test_constants_flow_through_chains_of_any_length():
     values = [f"Kq7-{i:03d}-Zp9xW" for i in range(100)]
     text = "v0 = '" + values[0] + "'\n" + "".join(f"v{i} = v{i - 1} + '{x}'\n" for i, x in enumerate(values) if i)
