@@ -1,7 +1,7 @@
 """Media columns: HTML pages become ordered sequences of text and media references, payloads resolve by digest.
 
 `parse` walks a page once and yields items in reading order: text runs, and media references with the
-caption that belongs to them (figcaption, else alt). A payload table is keyed by the sha256 of the payload; an
+caption that belongs to them (figcaption, before or after them, else alt); the caption of a figure without media is text. A payload table is keyed by the sha256 of the payload; an
 equality join on that digest resolves references, so positions and captions never move.
 
 Stored form: an 8-bit grey PNG, 64 samples a row, one row for each 64 bytes of the padded payload. It is lossless,
@@ -87,13 +87,31 @@ def feature(samples: bytes) -> str:
 class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.words, self.skip, self.figure, self.caption = [], [], 0, [], None
+        self.items, self.words, self.skip, self.figure = [], [], 0, []
 
     def flush(self):
         if text := " ".join("".join(self.words).split()):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
         self.words = []
 
+    def close_caption(self):
+        """An ended caption holds its place as text until its figure closes."""
+        own = self.figure[-1]
+        if text := " ".join("".join(own["open"] or ()).split()):
+            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+            own["captions"].append(self.items[-1])
+        own["open"] = None
+
+    def close_figure(self):
+        self.close_caption()
+        own = self.figure.pop()
+        if own["media"] and own["captions"]:
+            text = " ".join(x["text"] for x in own["captions"])
+            for x in own["media"]:
+                x["caption"] = text
+            for x in own["captions"]:
+                x["kind"] = None
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip += 1
@@ -102,16 +120,17 @@ class _Sequence(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figure.append([])
+            self.figure.append({"media": [], "captions": [], "open": None})
         elif tag == "figcaption" and self.figure:
-            self.caption = []
+            self.close_caption()
+            self.figure[-1]["open"] = []
         elif tag in ("img", "video", "audio", "source", "embed"):
             own = dict(attrs)
             if ref := own.get("src"):
                 self.flush()
                 self.items.append({"kind": "media", "text": None, "ref": ref, "caption": own.get("alt") or None})
                 if self.figure:
-                    self.figure[-1].append(len(self.items) - 1)
+                    self.figure[-1]["media"].append(self.items[-1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,30 +143,30 @@ class _Sequence(HTMLParser):
             return
         if self.skip:
             return
-        if tag == "figcaption" and self.caption is not None:
-            if text := " ".join("".join(self.caption).split()):
-                for k in self.figure[-1] if self.figure else ():
-                    self.items[k]["caption"] = text
-            self.caption = None
-        elif tag == "figure" and self.figure:
-            self.figure.pop()
         if tag in BLOCKS:
             self.flush()
+        if tag == "figcaption" and self.figure:
+            self.close_caption()
+        elif tag == "figure" and self.figure:
+            self.close_figure()
 
     def handle_data(self, data):
         if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+            caption = self.figure[-1]["open"] if self.figure else None
+            (self.words if caption is None else caption).append(data)
 
 
 def parse(page: str | None) -> list[dict]:
-    """Items of a page in reading order, with their positions; a caption is kept with its media, not as text."""
+    """Items of a page in reading order, with their positions; a caption is kept with its figure's media, as text if there are none."""
     if not page:
         return []
     parser = _Sequence()
     parser.feed(page)
     parser.close()
     parser.flush()
-    return [{"pos": i, **x} for i, x in enumerate(parser.items)]
+    while parser.figure:
+        parser.close_figure()
+    return [{"pos": i, **x} for i, x in enumerate(x for x in parser.items if x["kind"])]
 
 
 def _digest(data: bytes) -> str:

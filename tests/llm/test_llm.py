@@ -294,6 +294,16 @@ def test_media_round_trip_and_alignment(spark, odd):
     assert [(r["pos"], r["payload"]) for r in media.resolve(media.interleave(pages), table).orderBy("pos").collect()] == [(0, None), (1, None), (2, "found"), (3, None), (4, None)]
 
 
+def test_captions_before_their_media_and_without_any():
+    told = lambda page: [(x["pos"], x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.parse(page)]
+    assert told("<figure><figcaption>cap</figcaption><img src=u alt=a><img src=v></figure>t") == [(0, "media", "u", "cap"), (1, "media", "v", "cap"), (2, "text", "t", None)]
+    assert told("a<figure><pre>x = 1</pre><figcaption>Listing <b>1</b></figcaption></figure>b") == [(0, "text", "a", None), (1, "text", "x = 1", None), (2, "text", "Listing 1", None), (3, "text", "b", None)]
+    assert told("<figure><img src=u><figcaption>cap</figure>later<p>text</p>") == [(0, "media", "u", "cap"), (1, "text", "later", None), (2, "text", "text", None)]
+    assert told("<p>a</p><figure><figcaption>never closed") == [(0, "text", "a", None), (1, "text", "never closed", None)]
+    assert told("<figure><img src=u alt=a><figcaption> </figcaption></figure>") == [(0, "media", "u", "a")]
+    assert told("<figure><figure><img src=u><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [(0, "media", "u", "in"), (1, "text", "out", None)]
+
+
 def test_dialogue_chunks_join_to_the_whole(spark):
     r = random.Random(2)
     rows = [(7, i // 2, r.choice(["ann", "bob", "system", None]), f"t{i} <|x|>") for i in range(600)] + [(7, 3, "ann", "again")] * 2 + [(None, 0, "ann", "null id")]
