@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: dict[str, str] = {}
 
 
@@ -54,7 +55,12 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends there, and lost executors redo nothing before it."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # the write's shuffle files go with it
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._readloom_path = path  # noqa: SLF001
     return out
