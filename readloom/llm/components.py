@@ -39,5 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(half)
         now = new
         if sums == told or not sums[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._readloom_path = now._readloom_path  # noqa: SLF001
+            return out
         told = sums

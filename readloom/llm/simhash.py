@@ -8,13 +8,7 @@ Buckets: one of two gives its pair; one of up to BUCKET fingerprints is verified
 forest; members of larger ones are indexed exactly under all fingerprints with two bits left out, where a bucket holds
 at most four. So no link between different fingerprints is lost and nothing grows with the square of a bucket.
 
-`near_duplicates` works on documents and the exact similarity of their sets of five-word shingles. Candidates come from prefixes: in one
-order of all shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 * n) + 1, however the texts were edited. The order puts
-shingles that are common in a sample last, so that prefixes are rare; it changes the work, not the result. Texts that share a shingle of their
-prefixes are a bucket. Buckets of up to PAIRS_UP_TO give all pairs; larger ones first a star and a chain, then, if its members are not yet of one
-component, what their prefixes leave possible, a star from the medoid. Buckets that are still not of one component are dealt out in pairs of blocks, of BLOCK members and BLOCK * 1024
-shingles or so; a kernel counts what their sets have in common and gives a spanning forest of links between components. So all texts that are
-similar enough come together.
+`neardup` has the same scheme for documents at a similarity of their shingle sets.
 
 Defined results: null and empty texts have fingerprint zero and link like others; exact copies share a fingerprint; null
 doc_ids are kept and belong to their fingerprint's component; repeated rows are kept by `link_documents`.
@@ -138,325 +132,3 @@ def link_documents(docs: DataFrame, k: int = 3) -> DataFrame:
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# ---- near-duplicate documents -----------------------------------------------------------------
-
-PAIRS_UP_TO = 8
-BLOCK = 2048
-SAMPLE = 5000
-COMMON = 1 << 16
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct shingles of a text; of one without words, the hash of the empty sequence, so that such texts are alike."""
-    h = shingle_hashes(text, k)
-    return np.unique(h if len(h) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)).view(np.int64)
-
-
-def weights(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The counts of shingles in the sample, 0 of those that are not common."""
-    if not len(common):
-        return np.zeros(len(own), np.int64)
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return np.where(common[at] == own, counts[at], 0)
-
-
-def prefix(own: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of n shingles, in the order of their counts in the sample, then of hashes."""
-    return own[np.lexsort((own, weights(own, common, counts)))[: int(len(own) * (1 - similarity) + 1e-9) + 1]]
-
-
-def _prefixes(k: int, similarity: float, shared):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (tid, text) to (tid, size, fp, keys), once in a task."""
-        common, counts = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if tid not in seen:
-                    seen.add(tid)
-                    own = shingle_set(text, k)
-                    ones = np.zeros(64, np.int64)
-                    for low in range(0, len(own), 1 << 16):
-                        ones += np.unpackbits(own[low : low + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    rows.append((tid, len(own), int(majority(ones, len(own)).view("<i8")[0]), prefix(own, similarity, common, counts)))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], names=["tid", "size", "fp", "keys"])
-
-    return run
-
-
-def _shingles(k: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, k) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["tid", "set"])
-
-    return run
-
-
-def _exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tid, size, keys) to (key, before, tid, size) of each key; before is the key's forerunner, of the first the key itself."""
-    for batch in batches:
-        lists = batch.column(2)
-        key = lists.flatten().to_numpy(zero_copy_only=False)
-        n = np.diff(lists.offsets.to_numpy())
-        before = np.concatenate([key[:1], key[:-1]])
-        first = np.cumsum(n) - n
-        before[first] = key[first]
-        for low in range(0, len(key), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            yield pa.record_batch([pa.array(key[part]), pa.array(before[part]), *(pa.array(np.repeat(batch.column(i).to_numpy(), n)[part]) for i in (0, 1))], names=["key", "before", "tid", "size"])
-
-
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows (key, before, tid, size) in this order to the buckets of more than one text."""
-    held: list[np.ndarray] = []
-
-    def whole() -> Iterator[np.ndarray]:
-        m = np.concatenate(held) if len(held) > 1 else held[0]
-        held.clear()
-        m = m[np.concatenate([[True], m[1:, 2] != m[:-1, 2]])]  # copies of one text come after each other
-        if len(m) > 1:
-            yield m
-
-    for batch in batches:
-        m = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        if not len(m):
-            continue
-        cuts = np.concatenate([[0], np.flatnonzero(m[1:, 0] != m[:-1, 0]) + 1, [len(m)]])
-        for i in np.flatnonzero((np.diff(cuts) > 1) | (np.arange(len(cuts) - 1) == 0) | (np.arange(len(cuts) - 1) == len(cuts) - 2)).tolist():
-            part = m[cuts[i] : cuts[i + 1]]
-            if held and held[0][0, 0] != part[0, 0]:
-                yield from whole()
-            held.append(part)
-    if held:
-        yield from whole()
-
-
-def _candidates(similarity: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, before, tid, size) to pairs (null, a, b), a < b: all of small buckets, a star and a chain of large ones.
-
-        Texts that have the same forerunner of the key meet under that too, and are not told again. A bucket that leaves pairs out
-        adds its members (key, tid, null)."""
-        told: set[tuple[int | None, int, int | None]] = set()
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*told, strict=True)) or [()] * 3
-            told.clear()
-            return pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=["key", "a", "b"])
-
-        for m in _buckets(batches):
-            key, fresh = int(m[0, 0]), m[:, 1] == m[0, 0]
-            if not fresh.any() and m[0, 1] == m[-1, 1]:
-                continue
-            if len(m) <= PAIRS_UP_TO:
-                i, j = np.triu_indices(len(m), 1)
-            else:
-                one = np.flatnonzero(fresh | np.concatenate([[True], m[1:, 1] != m[:-1, 1]]))
-                i, j = np.concatenate([np.full(len(one) - 1, one[0]), one[1:-1]]), np.concatenate([one[1:], one[2:]])
-                told.update((key, x, None) for x in m[:, 2].tolist())
-            ok = ((m[i, 1] != m[j, 1]) | fresh[i]) & (np.minimum(m[i, 3], m[j, 3]) >= similarity * np.maximum(m[i, 3], m[j, 3]))
-            x, y = m[i[ok], 2], m[j[ok], 2]
-            told.update(zip([None] * len(x), np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            if len(told) > 50_000:
-                yield out()
-        yield out()
-
-    return run
-
-
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
-    """Rows (key, x, y, block, tid, root, numbers, list if any) by (key, x, y) to one matrix of each group, and its lists."""
-    held: list[np.ndarray] = []
-    sets: list = []
-
-    def whole() -> tuple[np.ndarray, list]:
-        m, own = np.concatenate(held), sets.copy()
-        held.clear()
-        sets.clear()
-        return m, own
-
-    for batch in batches:
-        listed = pa.types.is_list(batch.schema.types[-1])
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: batch.num_columns - listed]], axis=1)
-        low = 0
-        for part in np.split(rows, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1):
-            if len(part):
-                if held and (held[0][0, :3] != part[0, :3]).any():
-                    yield whole()
-                held.append(part)
-                if listed:
-                    sets += [x.values.to_numpy(zero_copy_only=False) for x in batch.column(batch.num_columns - 1)[low : low + len(part)]]
-                low += len(part)
-    if held:
-        yield whole()
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _likely(similarity: float, shared):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group (lists: the prefixes) the members (key, tid) that may be similar enough to one of another root and first meet it under this key.
-
-        What two sets share is in both prefixes, or comes after the prefix that ends first: at most the rest of that set."""
-        common, counts = shared.value
-        for m, keys in _parts(batches):
-            size, length = m[:, 6], np.array([len(x) for x in keys], np.int64)
-            values, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            rank = np.empty(len(values), np.int64)
-            rank[np.lexsort((values, weights(values, common, counts)))] = np.arange(len(values))
-            here = rank[np.searchsorted(values, m[0, 0])]
-            owner = np.repeat(np.arange(len(keys)), length)[np.argsort(place, kind="stable")]
-            ends = np.cumsum(count)
-            parts = np.split(place, np.cumsum(length)[:-1])
-            last = np.array([rank[x[-1]] for x in parts], np.int64)
-            _, root, often = np.unique(m[:, 5], return_inverse=True, return_counts=True)
-            found = np.zeros(len(m), bool)
-            for i in np.flatnonzero(root != often.argmax()).tolist():
-                own = parts[i][count[parts[i]] > 1]
-                at = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int64), *(owner[ends[t] - count[t] : ends[t]] for t in some.tolist())]), minlength=len(keys))  # noqa: B023, E731
-                ok = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
-                ok &= (1 + similarity) * (at(own) + np.where(last[i] <= last, size[i] - length[i], size - length)) >= similarity * (size[i] + size) - 1e-6
-                if ok.any():
-                    ok &= at(own[rank[own] < here]) == 0
-                if ok.any():
-                    found |= ok
-                    found[i] = True
-            yield pa.record_batch([pa.array(m[found, 0]), pa.array(m[found, 4])], names=["key", "tid"])
-
-    return run
-
-
-def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group the pairs of its medoid (nearest to the majority of bits: of copies of one text, most likely that text) and one of each other root."""
-    for m, _ in _parts(batches):
-        fp = m[:, 6].copy().view(np.uint64)
-        ones = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at = int(np.bitwise_count(fp ^ majority(ones, len(m)).view(np.uint64)).argmin())
-        others = m[m[:, 5] != m[at, 5]]
-        others = others[np.unique(others[:, 5], return_index=True)[1], 4]
-        yield _pairs(others, np.full(len(others), m[at, 4]))
-
-
-def _across(similarity: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group the links of a spanning forest over its roots: pairs of the blocks x and y of similar enough sets.
-
-        Members of the root with most members meet the others' turns, so they take none. A turn counts common shingles with all members."""
-        for m, sets in _parts(batches):
-            size = np.array([len(x) for x in sets], np.int64)
-            _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            owner = np.repeat(np.arange(len(sets)), size)[np.argsort(place, kind="stable")]
-            ends = np.cumsum(count)
-            parts = np.split(place, np.cumsum(size)[:-1])
-            above: dict[int, int] = {}
-            links: list[tuple[int, int]] = []
-
-            def top(r: int) -> int:
-                while r in above:
-                    r = above[r]
-                return r
-
-            names, root, often = np.unique(m[:, 5], return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(root != often.argmax()).tolist():
-                own = parts[i][count[parts[i]] > 1]
-                if len(own):
-                    n = np.bincount(np.concatenate([owner[ends[t] - count[t] : ends[t]] for t in own.tolist()]), minlength=len(sets))
-                    ok = (n >= similarity * (size[i] + size - n)) & (root != root[i])
-                    if m[i, 1] != m[i, 2]:
-                        ok &= m[:, 3] != m[i, 3]
-                    for j in np.flatnonzero(ok).tolist():
-                        if (x := top(int(m[i, 5]))) != (y := top(int(m[j, 5]))):
-                            above[x] = y
-                            links.append((int(m[i, 4]), int(m[j, 4])))
-            if links:
-                yield _pairs(*np.array(links, np.int64).T)
-
-    return run
-
-
-def common_shingles(keyed: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than two of about SAMPLE texts, at most COMMON, and their counts. They only set the order of prefixes: any gives all pairs."""
-    some = keyed.where(F.pmod("tid", F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["tid"])
-    each = some.select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>").select(F.explode("set").alias("x"))
-    got = each.groupBy("x").count().where("count > 2").orderBy(F.desc("count"), "x").limit(COMMON).collect()
-    found = np.array([tuple(r) for r in got], np.int64).reshape(-1, 2)
-    found = found[np.argsort(found[:, 0])]
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(tid, root) of texts that have near duplicates and are not their group's least tid; tid is the text's xxhash64."""
-    ship(docs.sparkSession)
-    plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = plain.select(F.xxhash64("text").alias("tid"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, k, plain.count()))
-    texts = written(keyed.mapInArrow(_prefixes(k, similarity, shared), "tid long, size long, fp long, keys array<long>"), "prefixes")
-    rows = texts.select("tid", "size", "keys").mapInArrow(_exploded, "key long, before long, tid long, size long")
-    met = written(rows.repartition("key").sortWithinPartitions("key", "before", "tid").mapInArrow(_candidates(similarity), "key long, a long, b long"), "met")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose shingle sets are similar enough."""
-        close = written(pairs, "close")
-        needed = close.select(F.col("a").alias("tid")).unionByName(close.select(F.col("b").alias("tid"))).distinct()
-        held = keyed.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>")
-        sets = written(held.dropDuplicates(["tid"]), "sets")
-        both = close.join(sets.select(F.col("tid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("tid").alias("b"), F.col("set").alias("y")), "b")
-        alike = both.withColumn("n", F.size(F.array_intersect("x", "y"))).where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n")))
-        links = written(alike.select("a", "b"), "near")
-        drop_written(sets)
-        drop_written(close)
-        return links
-
-    links = verified(met.where("b is not null").select("a", "b").distinct())
-    roots = components(links)
-    full = met.where("b is null").select("key", F.col("a").alias("tid"))
-    for step in () if full.isEmpty() else ("likely", "stars", "across"):
-        members = full.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        mixed = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n"), "mixed")
-        if not mixed.isEmpty():
-            inside, weight = members.join(mixed, "key"), F.lit(0)
-            needed = inside.select("tid").distinct()
-            if step == "likely":
-                own = texts.join(needed, "tid", "left_semi").select("tid", "size", "keys").dropDuplicates(["tid"])
-            elif step == "stars":
-                own = texts.groupBy("tid").agg(F.min("fp").alias("fp"))
-            else:
-                own = written(keyed.join(needed, "tid", "left_semi").select("tid", "text").mapInArrow(_shingles(k), "tid long, set array<long>").dropDuplicates(["tid"]), "sets")
-                sized = inside.join(own.select("tid", F.size("set").alias("size")), "tid")
-                inside, weight = inside.join(written(sized.groupBy("key").agg(F.sum("size").alias("weight")), "weights"), "key"), F.col("weight")
-            blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(weight / (BLOCK * 1024)), F.lit(1)).cast("int")
-            dealt = inside.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(tid), blocks) as int)"))
-            met_by = dealt.withColumn("other", F.col("block") if step == "stars" else F.explode(F.expr("sequence(0, blocks - 1)")))
-            grid = met_by.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "tid", "root")
-            told = grid.join(own, "tid").select("key", "x", "y", "block", "tid", "root", *own.columns[1:]).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "tid")
-            if step == "likely":
-                full = written(told.mapInArrow(_likely(similarity, shared), "key long, tid long").distinct(), "likely")
-            else:
-                new = told.mapInArrow(_stars if step == "stars" else _across(similarity), "a long, b long").distinct()
-                links = links.unionByName(verified(new) if step == "stars" else written(new, "across"))
-                roots = components(links)
-            if step == "across":
-                drop_written(own)
-        drop_written(mixed)
-    drop_written(met)
-    drop_written(texts)
-    return roots.select(F.col("node").alias("tid"), "root")
-
-
-def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of equal or near-duplicate texts: that of the least doc_id (null last)."""
-    groups = text_groups(docs, k, similarity)
-    tid = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid.alias("tid")).groupBy("doc_id", "tid").agg(F.lit(1).alias("_one"))
-    placed = ids.join(groups, "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tid")).alias("m"))
-    keep = written(first.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.tid").alias("_keep_tid")), "keep")
-    rows = docs.withColumn("_tid", tid)
-    kept = rows.join(keep, F.col("_tid").eqNullSafe(F.col("_keep_tid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_tid"]).drop("_tid")
