@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.decontaminate import drop_contaminated
 from readloom.llm.mixing import mix_documents
-from readloom.llm.simhash import drop_near_duplicates
+from readloom.llm.neardup import drop_near_duplicates
 from readloom.llm.tokens import token_rows
 from readloom.llm.toxicity import drop_toxic
 from readloom.session import written
