@@ -25,55 +25,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
+from readloom.llm.hashing import SEED, WordHashes, mixed, runs
 from readloom.session import drop_written, ship, written
 
-SEED = 42
 WIDTH = SEGMENTS = 7
 SLOTS = WIDTH * SEGMENTS
 WEIGHT = 1 << 19
 MEMBERS = 512
 LEADERS = 16
-CACHED_WORDS = 200_000
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 63, SLOTS, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, SLOTS, np.int64).astype(np.uint64)
-_ORDER = _rng.integers(0, 1 << 63, 16, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """XXH64 of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, SEED)
-        if len(self) < CACHED_WORDS:
-            self[word] = h
-        return h
 
 
 def shingle_set(text: str | None, k: int, known: WordHashes) -> np.ndarray:
     """The distinct 64-bit hashes of a text's k-word shingles, sorted; of one without words, one hash, so that such texts are alike."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(1, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-    k = min(k, n)
-    total = h[: n - k + 1] * _ORDER[0]
-    for i in range(1, k):
-        total = mixed(total) + h[i : n - k + 1 + i] * _ORDER[i % 16]
-    return np.unique(mixed(total + np.uint64(k)))
+    return np.unique(runs(known.of(words), min(k, len(words)))) if words else np.zeros(1, np.uint64)
 
 
 def slots(own: np.ndarray) -> np.ndarray:

@@ -377,37 +377,85 @@ def test_mixture_meets_its_targets(spark, odd):
     assert a == b
 
 
+def plain_matches(docs, items):
+    """(doc, item) of which some window of the item's size, or the whole of a shorter text, is similar enough."""
+    found = set()
+    for d, t in docs:
+        w = (t or "").lower().split()
+        for i, x in items:
+            own, n = Counter(decontaminate.shingles((x or "").lower().encode().split())), len((x or "").split())
+            windows = [w[s : s + n] for s in range(max(1, len(w) - n + 1))] if w and n else []
+            if any(decontaminate.weighted_jaccard(own, Counter(decontaminate.shingles([y.encode() for y in v]))) >= 0.8 for v in windows):
+                found.add((d, i))
+    return found
+
+
 def test_decontamination_equals_brute_force(spark):
+    """Items of all sizes, edited, cut, with halves swapped and rotated, at any place of a text; nulls, empty texts and columns that clash."""
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdef") for _ in range(5))
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 5, 8, 14, 20, 40, 59, 20, 20])]
-    docs = []
-    for d in range(60):
-        w = items[d % 10][1].split()
-        for _ in range(d // 20):
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 4, 5, 6, 8, 14, 20, 40, 59, 60, 60, 120])]
+    items += [(50, "x y " * 20), (51, None), (52, " \n"), (None, items[8][1] + " tail of it")]
+    docs = [(1000, None), (1001, ""), (1002, "\t "), (1003, "a"), (1004, "x y " * 300), (None, items[9][1])]
+    for d in range(240):
+        w = items[d % 13][1].split()
+        n, kind = len(w), d // 13 % 6
+        if kind == 1:
+            w = w[n // 2 :] + w[: n // 2]
+        elif kind == 2:
+            w = w[n // 6 :] + w[: n // 6]
+        elif kind == 3:
+            w = w[: max(1, n - n // 8)]
+        for _ in range(kind - 3):
             w[r.randrange(len(w))] = word()
-        if d % 7 == 3 and len(w) > 5:
-            w.insert(len(w) // 2, word())
-        docs.append((d, " ".join([word() for _ in range(r.randint(0, 30))] + w + [word() for _ in range(5)]).upper()))
-    got = {(m["doc_id"], m["item_id"]) for m in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = set()
-    for d, t in docs:
-        w = t.lower().split()
-        for i, x in items:
-            own = Counter(decontaminate.shingles(x.split()))
-            n = len(x.split())
-            if any(decontaminate.weighted_jaccard(own, Counter(decontaminate.shingles(w[s : s + n]))) >= 0.8 for s in range(len(w) - n + 1)):
-                want.add((d, i))
-    assert got == want and want
+        around = r.choice([0, 3, 30])
+        docs.append((d, " ".join([*(word() for _ in range(around)), *w, *(word() for _ in range(around // 2))]).upper()))
+    table = spark.createDataFrame([(d, t, "a", "b") for d, t in docs], "doc_id long, text string, item_id string, similarity string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_matches(docs, items)
+    assert {(m["doc_id"], m["item_id"]) for m in decontaminate.contamination(table, bench).collect()} == want
+    assert len(want) > 100 and (None, 9) in want
+    kept = decontaminate.drop_contaminated(table, bench)
+    assert kept.columns == table.columns
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(d for d, _ in docs if d not in {x[0] for x in want})
+
+
+def test_swapped_and_rotated_items_are_found():
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    index = decontaminate.Items([(1, " ".join(a + b)), (2, "w0 w1")])
+    for w in (b + a, (a + b)[10:] + (a + b)[:10]):
+        for text in (w, ["x"] * 7 + w + ["y"] * 50):
+            assert [x[0] for x in index.find(" ".join(text))] == [1]
+
+
+def test_fingerprints_and_index_are_exact():
+    """Bit-sliced fingerprints are those of plain sums, and tables leave out no fingerprint within the radius."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 150, np.int64).astype(np.uint64)
+    bits = np.unpackbits(decontaminate.lanes(h).view(np.uint8).reshape(2, -1, 8), axis=2, bitorder="little").astype(int)
+    for m, fps in decontaminate.fingerprints(decontaminate.lanes(h), [1, 2, 5, 16, 17, 64, 149, 150]):
+        want = np.stack([np.packbits(2 * bits[:, i : i + m].sum(axis=1) > m, axis=1, bitorder="little").view(np.uint64)[:, 0] for i in range(150 - m + 1)], axis=1)
+        assert (fps == want).all()
+    own = [rng.integers(0, 1 << 63, 2, np.int64).astype(np.uint64) for _ in range(20)]
+    group = decontaminate.Group(list(range(20)), own)
+    near = []
+    for i in range(20):
+        for n in range(60):
+            flips = np.zeros(128, np.uint8)
+            flips[rng.choice(128, n, replace=False)] = 1
+            near.append((i, n, own[i] ^ np.packbits(flips, bitorder="little").view(np.uint64)))
+    got = {(x, int(at)) for x, places in group.find(np.stack([x[2] for x in near], axis=1)) for at in places}
+    assert got == {(i, j) for j, (i, n, _) in enumerate(near) if n <= decontaminate.RADIUS}
 
 
 def test_items_cut_at_either_end_of_a_text_are_found():
     words = [f"w{i}" for i in range(50)]
     rest, index = [f"r{i}" for i in range(20)], decontaminate.Items([(7, " ".join(words))])
-    whole = Counter(decontaminate.shingles(words))
+    told = lambda x: Counter(decontaminate.shingles([y.encode() for y in x]))
+    whole = told(words)
     for k in range(9):
         for text in (words[k:] + rest, rest + words[: 50 - k]):
-            windows = [decontaminate.weighted_jaccard(whole, Counter(decontaminate.shingles(text[s : s + 50]))) for s in range(len(text) - 49)]
+            windows = [decontaminate.weighted_jaccard(whole, told(text[s : s + 50])) for s in range(len(text) - 49)]
             want = [(7, max(windows))] if max(windows) >= 0.8 else []
             assert [x[:2] for x in index.find(" ".join(text))] == want and bool(want) == (k <= 5)
 
@@ -417,7 +465,7 @@ def test_texts_shorter_than_the_item_are_one_window():
     index = decontaminate.Items([(7, " ".join(words)), (8, "w0 w1 w2 w3 w4 w5"), (9, "w1 w2 w3")])
     for k in range(1, 50):
         for text in (words[k:], words[: 50 - k], words[k // 2 : 50 - (k - k // 2)]):
-            score = decontaminate.weighted_jaccard(Counter(decontaminate.shingles(words)), Counter(decontaminate.shingles(text)))
+            score = decontaminate.weighted_jaccard(*(Counter(decontaminate.shingles([y.encode() for y in x])) for x in (words, text)))
             assert [x[:4] for x in index.find(" ".join(text)) if x[0] == 7] == ([(7, score, 0, 1)] if score >= 0.8 else [])
     assert [x[0] for x in index.find("w0 w1 w2 w3 w4")] == [9] and index.find("w1 w2") == []
 
