@@ -1,22 +1,24 @@
 """Toxicity: a logistic classifier over words and parts of words, regularised by counterfactual identity swaps.
 
 Features are the character sequences of 4 to 8 that occur in words (a space at either end marks the word's boundary), chosen by their association
-with the label; a document has a feature or not, so a few toxic words weigh as much in a long text. For every labelled sentence with an
-identity term, a counterfactual names another group instead; the loss has the squared change of the score between both,
-so weights that tell groups apart go to zero and neutral mentions of a group are left alone.
+with the label; a document has a feature or not, so a few toxic words weigh as much in a long text. Every labelled text gives counterfactuals: its
+identity terms name the next groups instead; a text without any gets a neutral mention placed in one of its sentences, which then names another
+group. The loss has the squared change of the score between both, and between a text and the same one with the mention,
+so weights that tell groups apart, or mentions from none, go to zero and neutral mentions of a group are left alone.
 
 Bound: features and weights are learnt from at most MAX_LABELLED labelled rows, the first by a hash of doc_id; the rows for learning are
-given by the caller. Statistics of features are summed by shuffles, the chosen ones (at most FEATURES) go to the driver. Every document is scored
+given by the caller; of rows that share a labelled doc_id one text is learnt from, the least by hash. Statistics of features are summed by shuffles, the chosen ones (at most FEATURES) go to the driver. Every document is scored
 whole, by one pass of an automaton of the chosen sequences.
 
 Defined results: null and empty texts have no feature and score as the intercept says; nothing labelled, or one class alone, leaves
 nothing to tell apart: every score is 0.5; a document with several labels is toxic if one is; rows without a label are not learnt from;
-repeated rows score alike.
+repeated rows score alike; columns other than doc_id and text are kept or not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import ship, written
+from readloom.session import drop_written, ship, written
 
 MAX_LABELLED = 6000
 FEATURES = 1024
@@ -60,6 +62,17 @@ def swapped(text: str) -> str | None:
     return "".join(_TERM.sub(lambda m: _NEXT[m[1].lower()], s) for s in _SENTENCE.findall(text))
 
 
+def mentioned(text: str) -> tuple[str, str]:
+    """A text without identity terms with a neutral mention after the first word of one of its sentences, and its counterfactual; a hash of the text chooses."""
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    line = IDENTITY[at % len(IDENTITY)]
+    spans = [m.span() for m in _SENTENCE.finditer(text) if m[0].strip()] or [(0, len(text))]
+    low, high = spans[at // 64 % len(spans)]
+    head = re.match(r"\s*\S*", text[low:high]).end() + low
+    one, other = line[at // 4096 % len(line)], line[(at // 4096 + 1) % len(line)]
+    return f"{text[:head]} {one} {text[head:]}", f"{text[:head]} {other} {text[head:]}"
+
+
 def sequences(word: str) -> set[str]:
     """The features of a word."""
     w = f" {word} "
@@ -101,19 +114,21 @@ def _vectors(chosen: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(chosen)
         for batch in batches:
-            own, other = [], []
+            own, one, other = [], [], []
             for text in batch.column(0).to_pylist():
                 own.append(features.of(text))
                 twin = swapped(text or "")
-                other.append(None if twin is None else features.of(twin))
+                a, b = mentioned(text or "") if twin is None else (text, twin)
+                one.append(features.of(a))
+                other.append(features.of(b))
             kind = pa.list_(pa.int32())
-            yield pa.record_batch([batch.column(1), pa.array(own, kind), pa.array(other, kind)], names=["y", "own", "other"])
+            yield pa.record_batch([batch.column(1), *(pa.array(x, kind) for x in (own, one, other))], names=["y", "own", "one", "other"])
 
     return run
 
 
-def fit(y: np.ndarray, own: list[list[int]], other: list[list[int] | None], n: int, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise log loss + L2 |w|^2 / 2 + penalty times the mean squared change over counterfactuals; damped Newton steps."""
+def fit(y: np.ndarray, own: list[list[int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise log loss + L2 |w|^2 / 2 + penalty times the mean squared change over pairs of counterfactuals; damped Newton steps."""
     share = float(y.mean()) if len(y) else 0.5
     if n == 0 or share in (0.0, 1.0):
         return np.zeros(n), 0.0
@@ -121,11 +136,11 @@ def fit(y: np.ndarray, own: list[list[int]], other: list[list[int] | None], n: i
     x[:, n] = 1
     for i, f in enumerate(own):
         x[i, f] = 1
-    pairs = [(i, f) for i, f in enumerate(other) if f is not None and f != own[i]]
+    pairs = [(a, b) for a, b in pairs if a != b]  # equal ones have no change
     d = np.zeros((len(pairs), n + 1), np.float32)
-    for k, (i, f) in enumerate(pairs):
-        d[k, own[i]] += 1
-        d[k, f] -= 1
+    for k, (a, b) in enumerate(pairs):
+        d[k, a] += 1
+        d[k, b] -= 1
     fixed = np.full(n + 1, L2)
     fixed[n] = 1e-9
     change = (2 * penalty / len(d)) * (d.T @ d).astype(np.float64) if len(d) else 0.0
@@ -153,28 +168,32 @@ def fit(y: np.ndarray, own: list[list[int]], other: list[list[int] | None], n: i
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, learn, penalty: float = COUNTERFACTUAL) -> tuple[list[str], np.ndarray, float]:
     """Chosen sequences, their weights and the intercept, from labels (doc_id, toxic) of which learn is true of doc_id."""
     spark = docs.sparkSession
     ship(spark)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y")).where(learn)
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text", "y"), "labelled")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    one = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    sample = written(one.select("doc_id", F.col("m.text").alias("text"), "y"), "labelled")
     sizes = dict(sample.groupBy("y").count().collect())
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
+        drop_written(sample)
         return [], np.zeros(0), 0.0
-    seen = sample.repartition("text").mapInArrow(_occurrences, "f string, y long, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("a"), F.sum(F.expr("if(y = 1, 0, n)")).alias("b"))
+    seen = sample.repartition("doc_id").select("text", "y").mapInArrow(_occurrences, "f string, y long, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("a"), F.sum(F.expr("if(y = 1, 0, n)")).alias("b"))
     n = bad + good
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     with_f = F.col("a") + F.col("b")
     g2 = 2 * (term(F.col("a"), with_f * bad / n) + term(F.col("b"), with_f * good / n) + term(bad - F.col("a"), (n - with_f) * bad / n) + term(good - F.col("b"), (n - with_f) * good / n))
     best = seen.where("a + b >= 3").withColumn("g", g2).where(F.col("g") >= LEAST_G2).orderBy(F.desc(F.round("g", 6)), "f").limit(FEATURES)
     chosen = [r["f"] for r in best.select("f").collect()]
-    rows = sample.mapInArrow(_vectors(chosen), "y long, own array<int>, other array<int>").collect()
-    rows.sort(key=lambda r: (r["y"], r["own"], r["other"] or []))
-    w, b = fit(np.array([r["y"] for r in rows], np.float32), [r["own"] for r in rows], [r["other"] for r in rows], len(chosen))
+    rows = sorted(map(tuple, sample.select("text", "y").mapInArrow(_vectors(chosen), "y long, own array<int>, one array<int>, other array<int>").collect()))
+    drop_written(sample)
+    pairs = [p for _, own, one, other in rows for p in ((one, other), (own, one))]
+    w, b = fit(np.array([r[0] for r in rows], np.float32), [r[1] for r in rows], pairs, len(chosen), penalty)
     return chosen, w, b
 
 

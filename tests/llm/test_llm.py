@@ -70,10 +70,52 @@ def test_toxicity_on_held_out_rows(spark):
 def test_counterfactuals_take_weight_from_identity_terms():
     y = np.array([1.0] * 30 + [0.0] * 50)
     own = [[0, 1]] * 24 + [[0]] * 6 + [[]] * 40 + [[1]] * 10  # 0: an insult, 1: an identity term that mostly stands beside it
-    other = [[0, 2]] * 24 + [None] * 46 + [[2]] * 10
-    free, held = toxicity.fit(y, own, other, 3, 0.0), toxicity.fit(y, own, other, 3, 10.0)
+    pairs = [([0, 1], [0, 2])] * 24 + [([1], [2])] * 10
+    free, held = toxicity.fit(y, own, pairs, 3, 0.0), toxicity.fit(y, own, pairs, 3, 10.0)
     assert abs(held[0][1] - held[0][2]) < 0.2 * abs(free[0][1] - free[0][2]) + 1e-3
     assert toxicity.swapped("Women are kind. x") == "men are kind. x" and toxicity.swapped("nothing here") is None
+    one, other = toxicity.mentioned("First part. Second one here.")
+    assert toxicity.swapped(one) == other and toxicity.mentioned("")[0].strip() in toxicity._NEXT
+
+
+def neutral_mentions(spark, penalty):
+    """The mean score, and the share over the threshold, of held-out neutral sentences that mention groups, learnt from texts of which toxic ones mostly mention them."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    plain, bad = [word() for _ in range(400)], ["zzyrk", "qwaxo", "vlorp"]
+    rows = []
+    for i in range(600):
+        text = [r.choice(plain) for _ in range(20)]
+        if i % 3 == 0:
+            text[r.randrange(20)] = r.choice(bad)
+            if r.random() < 0.7:
+                text[r.randrange(20)] = r.choice(["muslim", "lesbian", "immigrants"])
+        rows.append((i, " ".join(text) + ".", int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chosen, w, b = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), F.lit(True), penalty)
+    neutral = [" ".join([*(r.choice(plain) for _ in range(8)), g, *(r.choice(plain) for _ in range(8))]) for g in ("muslim", "lesbian", "immigrants", "hindu", "gay") for _ in range(40)]
+    own = [" ".join([*(r.choice(plain) for _ in range(8)), r.choice(bad)]) for _ in range(100)]
+    features = toxicity.Features(chosen)
+    return toxicity._scores(neutral, features, w, b), toxicity._scores(own, features, w, b)
+
+
+def test_neutral_mentions_of_groups_are_left_alone(spark):
+    free, held = neutral_mentions(spark, 0.0), neutral_mentions(spark, toxicity.COUNTERFACTUAL)
+    assert held[0].mean() < 0.5 * free[0].mean() and (held[0] >= toxicity.THRESHOLD).mean() <= 0.02 < (free[0] >= toxicity.THRESHOLD).mean()
+    assert (held[1] >= toxicity.THRESHOLD).mean() > 0.95
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and columns that clash have their stated results."""
+    rows = [(i, "bad zzyrk words here" if i % 2 else "good words here now", i) for i in range(40)] + [(50, None, 1), (51, "", 1), (51, "", 1), (None, "bad zzyrk", 1), (1, "bad zzyrk words here", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and len({x["score"] for x in got if x["doc_id"] in (50, 51)}) == 1
+    assert all(x["predicted"] == int(x["score"] >= 0.7) for x in got) and len({x["score"] for x in got if x["doc_id"] == 1}) == 1
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in kept.collect()) == sorted((d is None, d or 0) for d, t, _ in rows if "zzyrk" not in (t or ""))
+    assert {x["score"] for x in toxicity.score_toxicity(docs, labels.where("toxic = 0")).collect()} == {0.5}
 
 
 def plain_fingerprint(text, k=3):
@@ -356,25 +398,60 @@ def test_knapsack_is_exact():
         assert all(n <= counts[lengths.index(w)] for w, n in got.items())
 
 
+def plain_targets(sizes):
+    """The contract's rule, step by step."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, left, free, out = {s: i % 3 + 1 for i, s in enumerate(order)}, float(sum(sizes.values())), order, {}
+    while free:
+        per = left / sum(weight[s] for s in free)
+        above = [s for s in free if per * weight[s] > 3 * sizes[s]]
+        if not above:
+            return out | {s: per * weight[s] for s in free}
+        out |= {s: 3.0 * sizes[s] for s in above}
+        left -= sum(out[s] for s in above)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def mix_of(docs):
+    rows = mixing.mixed(mixing.keyed(docs, F.struct("doc_id", "source"))).select("row.*", "size", "total", "target", "times").collect()
+    return [x.asDict() for x in rows]
+
+
 def test_mixture_meets_its_targets(spark, odd):
-    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd.drop("_size"), spark.createDataFrame([(i, "same five words of text", None, "s", 1) for i in range(3000)], DOCS)):
-        got = mixing.mixed(docs.select("doc_id", "source", "text"), ["doc_id", "source"]).toPandas()
-        got["taken"] = got._times * got._size
-        sizes = got.groupby("source", dropna=False)._size.sum()
-        want = mixing.targets([(None if s != s else s, int(n)) for s, n in sizes.items()])
-        assert abs(sum(want.values()) - sizes.sum()) < 1e-6 * max(sizes.sum(), 1) or all(abs(want[s] - 3 * n) < 1e-6 for s, n in sizes.items() if s == s)
-        for s, g in got.groupby("source", dropna=False):
-            assert abs(g._target.iloc[0] - want[None if s != s else s]) < 1e-6
-            total, target = int(g._size.sum()), g._target.iloc[0]
+    skewed = [(i, "a b c d " * (i % 5), None, f"s{min(i % 40, i % 7)}", 1) for i in range(900)] + [(i, "w " * 4000, None, "z", 1) for i in range(9)] + [(i, "only nulls here", None, None, 1) for i in range(20)]
+    cases = (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd, spark.createDataFrame([(i, "same five words of text", None, "s", 1) for i in range(3000)], DOCS), spark.createDataFrame(skewed, DOCS))
+    for docs in cases:
+        got, by = mix_of(docs), defaultdict(list)
+        for x in got:
+            by[x["source"]].append(x)
+        want = plain_targets({s: sum(x["size"] for x in g) for s, g in by.items()})
+        for s, g in by.items():
+            total, target = sum(x["size"] for x in g), g[0]["target"]
+            assert {x["total"] for x in g} == {total} and abs(target - want[s]) <= 1e-9 * max(target, 1) + 1e-6
             rest = round(target) - (min(3, int(target // total)) * total if total else 0)
             sums = {0}  # all sums of some of the documents, within the rest of the budget
-            for n in g._size if len(g) < 60 else ():
-                sums |= {x + int(n) for x in sums if x + n <= rest}
+            for x in g if len(g) < 60 else ():
+                sums |= {y + x["size"] for y in sums if y + x["size"] <= rest}
             best = max(sums) if len(g) < 60 else rest - 5
-            assert abs(g.taken.sum() - target) <= max(rest - best, 0) + 1
-        assert (got._times <= 3).all() and (got._times >= 0).all()
-    a, b = (sorted(map(tuple, mixing.mixed(docs.repartition(n).select("doc_id", "source", "text"), ["doc_id"]).collect())) for n in (2, 5))
-    assert a == b
+            assert abs(sum(x["times"] * x["size"] for x in g) - target) <= max(rest - best, 0) + 1
+        assert all(0 <= x["times"] <= 3 for x in got)
+    a, b = (sorted((x["doc_id"], x["source"] or "", x["times"]) for x in mix_of(docs.repartition(n))) for n in (2, 5))
+    assert a == b and mix_of(docs.limit(0)) == []
+
+
+def test_the_mix_keeps_every_column(spark):
+    """Columns named as the mix's own keep their values; rows come as often as they are taken, nulls and repeated rows too."""
+    own = ["row", "key", "size", "rank", "bucket", "tie", "total", "target", "times", "left", "take", "k", "n", "_size"]
+    rows = [(i, f"word {i} " * (i % 4), f"s{i % 3}" if i % 5 else None) for i in range(60)] + [(7, "x y", "s1"), (7, "x y", "s1"), (None, None, None)]
+    docs = spark.createDataFrame([(d, t, s, *(f"{c} of {d}" for c in own)) for d, t, s in rows], ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in own)]))
+    got = mixing.mix_documents(docs)
+    assert got.columns == docs.columns
+    got, times = got.collect(), Counter()
+    assert got and all(x[c] == f"{c} of {x['doc_id']}" for x in got for c in own)
+    for x in mix_of(docs):
+        times[x["doc_id"]] += x["times"]
+    assert Counter(x["doc_id"] for x in got) == +times
 
 
 def plain_matches(docs, items):
