@@ -5,11 +5,11 @@ documents are counted by exact length, a proportional share of each length is ta
 program over the remaining counts closes the gap. Which documents of a length are taken follows a seeded hash.
 
 Documents of one source and length are dealt to 4096 hash buckets, so a group of any size ranks only
-within a bucket; counts are summed before they are shuffled. The table of sources (a name and a total each) is the
-mixture's own table and goes to the driver, up to MAX_SOURCES; lengths, documents and buckets stay distributed.
+within a bucket; counts are summed before they are shuffled. Sources, lengths, documents and buckets stay distributed: sources are ranked by a
+range-partitioned sort, and targets come of a few rounds of sums over the table of sources.
 
 Defined results: a null text has size 0; documents of size 0 take 0; a null source is a source of its own and comes
-last; sources without words have target 0; repeated rows are documents of their own.
+last; sources without words have target 0; repeated rows are documents of their own; every column of the documents is kept as it is, whatever its name.
 """
 
 from __future__ import annotations
@@ -18,33 +18,40 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.session import ship, written
+from readloom.session import drop_written, ship, written
 
 SEED = 17
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-MAX_SOURCES = 1_000_000
 BUCKETS = 4096
 DP_BUDGET = 16384
 
 
-def targets(totals: list[tuple[str | None, int]]) -> dict[str | None, float]:
-    """Targets of sources: shares by weight of the sum of all sizes, held at REPEATS times a source's own size, the excess shared again."""
-    order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, (s, _) in enumerate(order)}
-    size, left, free, out = dict(order), float(sum(n for _, n in order)), [s for s, _ in order], {}
-    while free:
-        per = left / sum(weight[s] for s in free)
-        above = [s for s in free if per * weight[s] > REPEATS * size[s]]
-        if not above:
-            return out | {s: per * weight[s] for s in free}
-        for s in above:
-            out[s] = float(REPEATS * size[s])
-            left -= out[s]
-        free = [s for s in free if s not in set(above)]
+def targets(sources: DataFrame) -> DataFrame:
+    """sources (key, total) with the weight by their order, and target: shares by weight of the sum of all sizes, held at REPEATS times a source's own size, the excess shared again."""
+    by = [F.col("key") == "n", F.col("key")]
+    parts = max(1, min(64, sources.rdd.getNumPartitions()))
+    dealt = sources.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    ranked = written(dealt.select("key", "total", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranked")
+    before, n = {}, 0
+    for part, rows in sorted(ranked.groupBy("part").count().collect()):  # a number for each of at most 64 parts
+        before[part], n = n, n + rows
+    place = F.col("at") + F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("part")) if before else F.lit(0)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
+    weighed = written(ranked.select("key", "total", weight.alias("weight")), "weighed")
+    drop_written(ranked)
+    per, told = -1.0, None
+    while True:  # shares rise from round to round, until no further source is over its limit
+        over = F.col("weight") * F.lit(per) > REPEATS * F.col("total")
+        sums = weighed.agg(F.coalesce(F.sum("total"), F.lit(0)) - F.coalesce(F.sum(F.when(over, REPEATS * F.col("total"))), F.lit(0)), F.sum(F.when(~over, F.col("weight"))), F.count(F.when(over, 1))).first()
+        if sums[2] == told or not sums[1]:
+            break
+        per, told = sums[0] / sums[1], sums[2]
+    out = weighed.select("key", "total", F.when(F.col("weight") * F.lit(per) > REPEATS * F.col("total"), REPEATS * F.col("total")).otherwise(F.col("weight") * F.lit(per)).cast("double").alias("target"))
+    out._readloom_path = weighed._readloom_path  # noqa: SLF001
     return out
 
 
@@ -105,55 +112,49 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("_size")
-    lengths, counts = group["_size"].to_numpy(np.int64), group["_n"].to_numpy(np.int64)
-    total, target = int(group["_total"].iloc[0]), float(group["_target"].iloc[0])
+    group = group.sort_values("size")
+    lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+    total, target = int(group["total"].iloc[0]), float(group["target"].iloc[0])
     k = min(REPEATS, int(target // total)) if total else 0
     take = fit(lengths, counts, round(target) - k * total) if k < REPEATS else np.zeros(len(lengths), np.int64)
-    return pd.DataFrame({"_key": group["_key"], "_size": lengths, "_take": take, "_k": k, "_total": total, "_target": target})
+    return pd.DataFrame({"key": group["key"], "size": lengths, "take": take, "k": k, "total": total, "target": target})
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with the columns that the mix works on; their names start with `_`."""
+def keyed(docs: DataFrame, row: Column, seed: int = SEED) -> DataFrame:
+    """What the mix works on: the struct `row`, the source's key, the size, a seeded rank and its bucket."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"), source, text)
-    return docs.withColumns({
-        "_key": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)),
-        "_size": F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        "_rank": rank, "_bucket": F.pmod(F.shiftrightunsigned(rank, 20), F.lit(BUCKETS)).cast("int"),
-    })
-
-
-def mixed(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
-    """Each document's `keep` columns with _size, _total and _target of its source, and _times: how often the mix takes it."""
-    spark = docs.sparkSession
-    ship(spark)
-    base = written(keyed(docs, seed).select("_key", "_size", "_bucket").groupBy("_key", "_size", "_bucket").agg(F.count("*").alias("_n")), "mix")
-    hist = base.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
-    totals = hist.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("_total")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    name = {r["_key"]: None if r["_key"] == "n" else r["_key"][1:] for r in totals}
-    want = targets([(name[r["_key"]], r["_total"]) for r in totals])
-    table = spark.createDataFrame([(r["_key"], r["_total"], want[name[r["_key"]]]) for r in totals], "_key string, _total long, _target double")
-    plan = hist.join(table, "_key").groupBy("_key").applyInPandas(_fit, "_key string, _size long, _take long, _k long, _total long, _target double")
-    before = Window.partitionBy("_key", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    deal = base.join(plan, ["_key", "_size"]).withColumn("_left", F.col("_take") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rows = keyed(docs, seed).select(*keep, "_key", "_size", "_rank", "_bucket").join(deal.drop("_take", "_n"), ["_key", "_size", "_bucket"])
-    place = F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_rank", *([F.col("doc_id")] if "doc_id" in keep else [])))
-    times = F.when(F.col("_size") == 0, 0).otherwise(F.col("_k") + F.when(place <= F.col("_left"), 1).otherwise(0))
-    return rows.withColumn("_times", times.cast("int")).select(*keep, "_size", "_total", "_target", "_times")
+    return docs.select(
+        row.alias("row"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("key"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        rank.alias("rank"), F.pmod(F.shiftrightunsigned(rank, 20), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("doc_id").cast("string").alias("tie"),
+    )
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """`keyed` rows as (row, size, total and target of the source, times: how often the mix takes it)."""
+    ship(rows.sparkSession)
+    base = written(rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("n")), "mix")
+    hist = base.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    table = targets(hist.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("total")))
+    plan = hist.join(table, "key").groupBy("key").applyInPandas(_fit, "key string, size long, take long, k long, total long, target double")
+    before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    deal = base.join(plan, ["key", "size"]).withColumn("left", F.col("take") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    met = rows.join(written(deal.drop("take", "n"), "deal"), ["key", "size", "bucket"])
+    drop_written(base)
+    drop_written(table)
+    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("rank", "tie"))
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("k") + F.when(place <= F.col("left"), 1).otherwise(0))
+    return met.select("row", "size", "total", "target", times.cast("int").alias("times"))
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    cols = docs.columns
-    return mixed(docs, cols, seed).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*cols)
+    found = mixed(keyed(docs, F.struct("*"), seed))
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mixture(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs, ["doc_id"]).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_times") * F.col("_size")).alias("taken"),
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = mixed(written(keyed(docs, F.struct("doc_id")), "sizes"))
+    return found.select("row.doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("times") * F.col("size")).alias("taken"))
