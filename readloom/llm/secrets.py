@@ -1,12 +1,13 @@
 """Secret scans: pattern spans, and assignment-aware lexing with constant propagation.
 
 The lexer turns source and configuration syntax (quoted keys, subscripts, `:` `=` `:=` `=>`, bare
-values at a line's end) into name-literal pairs. A name bound to a literal is a constant; where a later
+values at a line's end, triple quotes, shell references, arguments of calls) into name-literal pairs. A name bound to a literal is a constant; where a later
 target takes that name, alone or joined by `+`, the literals flow to the target. Each literal is scored by
 the most sensitive target name that it reaches, times how much it looks like a value.
 
 Defined results: null and empty texts have no spans (`base_sha256` of the empty string); repeated rows
-each give their own row; null doc_ids are kept; further columns are not read, whatever their names.
+each give their own row; null doc_ids are kept; further columns are not read, whatever their names;
+of literals with one span the highest score is told; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ NO_LETTERS = bytes(x for x in range(256) if not chr(x).isascii() or not chr(x).i
 LITERAL_SCORE = 0.6
 
 TOKEN = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+\[\],;(){}])|(?P<nl>\n)|(?P<num>[0-9][A-Za-z0-9_.+/=-]*)|(?P<sp>[^\S\n]+)|(?P<other>.)""",
+    r"""(?P<str>\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<ref>\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Za-z_][A-Za-z0-9_]*)|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+\[\],;(){}])|(?P<nl>\n)|(?P<num>[0-9][A-Za-z0-9_.+/=-]*)|(?P<sp>[^\S\n]+)|(?P<other>.)""",
     re.A | re.S,
 )
+REF = re.compile(r"\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Za-z_][A-Za-z0-9_]*", re.A)
 BARE = re.compile(r"[^\s\"'#;,(){}\[\]<>]{6,}")
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -62,6 +64,38 @@ def value_score(value: str) -> float:
     return min(1.0, 0.35 + 0.1 * kinds + min(bits, 4.5) / 4.5 * 0.35 + min(n, 20) / 20 * 0.1)
 
 
+def _inner(word: str) -> int:
+    """The width of a string's quotes."""
+    return 3 if len(word) >= 6 and word[:3] in ('"""', "'''") else 1
+
+
+def _read(token: tuple, literals: list, names: list) -> None:
+    """A string, or a name that is used; a string that is one reference uses its name."""
+    kind, word, start, end = token
+    if kind != "str":
+        names.append(word.strip("${}"))
+    elif REF.fullmatch(inner := word[_inner(word) : -_inner(word)]):
+        names.append(inner.strip("${}"))
+    else:
+        literals.append((start + _inner(word), end - _inner(word)))
+
+
+def _arguments(tokens: list[tuple], j: int, literals: list, names: list) -> int:
+    """Read a call's arguments from its first; the place of its closing bracket, or of what ends the reading: the line's end, or a keyword that is a target itself."""
+    depth = 1
+    while j < len(tokens):
+        kind, word, _, _ = tokens[j]
+        depth += (word in "([{") - (word in ")]}") if kind == "op" else 0
+        if not depth or kind == "nl":
+            break
+        if kind in ("str", "name", "ref"):
+            if j + 1 < len(tokens) and tokens[j + 1][1] in ("=", ":", ":=", "=>"):
+                break
+            _read(tokens[j], literals, names)
+        j += 1
+    return j
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
     """(target name, spans of literals, names used) of each assignment, in text order."""
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup != "sp"]
@@ -69,10 +103,10 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
     while i < n:
         kind, word, _, _ = tokens[i]
         j = i + 1
-        if kind not in ("name", "str"):
+        if kind not in ("name", "ref", "str"):
             i = j
             continue
-        target = word[1:-1] if kind == "str" else word
+        target = word[_inner(word) : -_inner(word)] if kind == "str" else word.strip("${}")
         if kind == "name" and j + 2 < n and tokens[j][1] == "[" and tokens[j + 1][0] == "str" and tokens[j + 2][1] == "]":
             target, j = f"{target}.{tokens[j + 1][1][1:-1]}", j + 3
         if kind == "name" and j + 1 < n and tokens[j][1] == ":" and tokens[j + 1][0] == "name" and j + 2 < n and tokens[j + 2][1] == "=":
@@ -80,14 +114,18 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
         if j >= n or tokens[j][1] not in (":", "=", ":=", "=>"):
             i += 1
             continue
-        literals, names, j = [], [], j + 1
+        literals, names, j, called = [], [], j + 1, False
         while j < n:
             kind, word, start, end = tokens[j]
-            if kind == "str":
-                literals.append((start + 1, end - 1))
+            if kind in ("str", "ref"):
+                _read(tokens[j], literals, names)
             elif kind == "name":
-                names.append(word)
-                if m := BARE.match(text, start):  # a bare value of a configuration line
+                _read(tokens[j], literals, names)
+                if j + 1 < n and tokens[j + 1][1] == "(":
+                    j, called = _arguments(tokens, j + 2, literals, names), True
+                    if j >= n or tokens[j][1] != ")":
+                        break
+                elif m := BARE.match(text, start):  # a bare value of a configuration line
                     if m.end() > end or any(x.isdigit() for x in word):
                         literals.append((start, m.end()))
                         while j + 1 < n and tokens[j + 1][2] < m.end():
@@ -104,7 +142,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
             j += 1
             break
         yield target, literals, names
-        i = max(i + 1, j - 1 if names and not literals else j)
+        i = max(i + 1, j - 1 if names and not literals and not called else j)
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
