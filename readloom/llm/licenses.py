@@ -7,7 +7,8 @@ wording matches word for word. An automaton runs only around the places of its a
 words), which every accepted passage contains.
 
 Defined results: null and empty texts have no words (`first_word`, `last_word` null, empty labels, score 0). Repeated
-rows each give their own row; null doc_ids are kept; further columns are not read.
+rows each give their own row; null doc_ids are kept; further columns are not read, whatever their names; of passages that end at one word the longest is
+told; a text of any length takes time in proportion to it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,17 @@ WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEM
 BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
 OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions
+in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY <<var;match=1..12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;match=1..12>> BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 #: Wordings of well-known licenses and notices, with their identifiers.
 TEMPLATES = {
     "mit": f"""<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var;match=1..20>><<endOptional>>
@@ -39,13 +51,14 @@ persons to whom the Software is furnished to do so, subject to the following con
 this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
 substantial portions of the Software. {_AS_IS}""",
     "mit-short": "<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above
-copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions
-in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-documentation and/or other materials provided with the distribution.""",
+    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;match=1..12>>
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+<<var;match=1..12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": f"{_BSD} {_BSD_AS_IS}",
+    "bsd-3-clause": f"""{_BSD} <<beginOptional>>3.<<endOptional>> Neither the name of <<var;match=1..12>> nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written permission. {_BSD_AS_IS}""",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\")<<endOptional>>",
     "gpl": """free software<<beginOptional>>: you can redistribute it and/or modify it<<endOptional>> under the terms of the GNU
 <<beginOptional>>Lesser<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>""",
@@ -142,10 +155,11 @@ AUTOMATA = {name: Automaton(text) for name, text in TEMPLATES.items()}
 
 
 def places(norm: bytes, phrase: bytes) -> list[int]:
-    """Word positions at which phrase (words with a space on either side) stands in norm."""
-    out, at = [], norm.find(phrase)
+    """Word positions at which phrase (words with a space on either side) stands in norm; one pass, whatever their number."""
+    out, at, seen, n = [], norm.find(phrase), 0, 0
     while at >= 0:
-        out.append(norm.count(b" ", 0, at))
+        n, seen = n + norm.count(b" ", seen, at), at
+        out.append(n)
         at = norm.find(phrase, at + 1)
     return out
 
@@ -161,12 +175,14 @@ def scan(text: str | None) -> tuple:
             found.add(label)
     for name, a in AUTOMATA.items():
         if a.anchor in norm:
-            near, done = places(norm, a.anchor), -1
-            for p in near:
-                low = max(p - a.longest, done)
-                for first, end in a.find(ws, max(low, 0), p + a.longest):
-                    matches.append((LABEL.get(name, name), first, end))
-                done = p + 1 - a.longest if p + 1 > a.longest else 0
+            spans: list[list[int]] = []  # what the anchors' surroundings cover together
+            for p in places(norm, a.anchor):
+                low, high = max(p - a.longest, 0), p + a.longest
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+            matches += [(LABEL.get(name, name), *x) for low, high in spans for x in a.find(ws, low, high)]
     matches = sorted(set(matches))
     labels = found | {x[0] for x in matches}
     score = 1.0 if matches else min(0.9, 0.5 + 0.1 * len(base)) if base else 0.0
