@@ -9,7 +9,8 @@ chunk's start. So a conversation of any length is never gathered in one row: tur
 sort and sums of counts, and a chunk alone is gathered.
 
 Defined results: turns are ordered by turn (nulls first), role, text; a null text is empty; a null conv_id is a conversation of its own;
-repeated turns are all kept; a conversation of system turns alone gives no rows; control marks in texts are broken by a space.
+repeated turns are all kept; a conversation of system turns alone gives no rows; control marks in texts and names are broken by a space; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def rotate(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
     people = plain.where("role <> 'system'").groupBy("conv_id", "role").agg(F.lit(1).alias("_one")).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker"))
     rows = chunks.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    head = lambda t: F.when(t["role"] == "system", F.lit("<|system|>\n")).when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
+    name = lambda t: F.replace(F.replace(t["role"], F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    head = lambda t: F.when(t["role"] == "system", F.lit("<|system|>\n")).when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name(t), F.lit("|>\n")))
     rows = rows.withColumn("pieces", F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit("<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own"))))
     span = lambda acc, p: F.struct((acc["at"] + F.length(p["head"])).cast("long").alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).cast("long").alias("end"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
@@ -77,7 +79,7 @@ s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 r as (
   select p.conv_id, s.speaker, pos // 256 as chunk, pos, p.role = s.speaker as own,
     case when p.role = 'system' then '<|system|>' || chr(10) when p.role = s.speaker then '<|assistant|>' || chr(10)
-         else '<|user name=' || p.role || '|>' || chr(10) end as head,
+         else '<|user name=' || replace(replace(p.role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) end as head,
     p.text || '<|end|>' || chr(10) as body
   from p join s on p.conv_id is not distinct from s.conv_id),
 a as (
