@@ -5,18 +5,20 @@ tokens and the count of each word come from all of them.
 
 Model: tokens of the recurrent model are the end, the most frequent words, and BUCKETS classes of all other words by a hash of their last three
 bytes; a word of a bucket has the add-one probability of its count within the bucket, with one place for unseen words. So the model gives
-every text a probability. It is trained on every training document once: in each of ROUNDS rounds the tasks train replicas
-from the same parameters on their own texts, and the replicas are averaged, weighted by their tokens (tree-wise, so few reach the driver).
+every text a probability. It is trained on every training document once: in each of ROUNDS rounds replicas start from the same parameters, each on a
+shard of about REPLICA_TOKENS tokens, and are averaged, weighted by their tokens (tree-wise, so few reach the driver). Texts go to rounds and
+shards by a hash of doc_id and text, so scores do not depend on partitions.
 
 Counts of words: the frequent ones (at most HEAD words of at most 64 bytes, a fixed bound) are broadcast; all others are joined by a
 shuffle, so no vocabulary is too large.
 
 Defined results: a null text is the empty one: one token, its end; null doc_ids hash as the empty text and are kept; repeated rows
-each give their row; with nothing to learn from, the base is log10(1/1) and the model is uniform.
+each give their row; columns other than doc_id and text are not read, whatever their names; with nothing to learn from, the base is log10(1/1) and the model is uniform.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,9 +36,11 @@ CLASSES, SIZE = 16, 32
 BUCKETS = 64
 HEAD = 1 << 18
 HEAD_BYTES = 64
+SLICES = 1 << 16
 RATES = (0.02, 0.01, 0.005)
 ROUNDS = len(RATES)
 GATHER = 16
+REPLICA_TOKENS = 1 << 20
 PARTIAL = 1_000_000
 
 
@@ -120,12 +124,24 @@ def _encoder(shared):
 
 def _replica(shared, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [np.frombuffer(x, "<u2") for batch in batches for x in batch.column(0).to_pylist()]
-        n = sum(map(len, ids))
-        if n:
-            p = gru.unpack(shared.value, CLASSES, SIZE)
-            gru.train(p, np.concatenate(ids), rate)
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(n)]), pa.array([gru.pack(p)], pa.binary())], names=["part", "n", "p"])
+        """Rows (shard, ids) by shard to the parameters of each shard's replica."""
+        held: list[np.ndarray] = []
+
+        def trained(shard: int) -> pa.RecordBatch:
+            ids, p = np.concatenate(held), gru.unpack(shared.value, CLASSES, SIZE)
+            held.clear()
+            gru.train(p, ids, rate)
+            return pa.record_batch([pa.array([shard], pa.int64()), pa.array([float(len(ids))]), pa.array([gru.pack(p)], pa.binary())], names=["part", "n", "p"])
+
+        now = None
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and shard != now:
+                    yield trained(now)
+                now = shard
+                held.append(np.frombuffer(ids, "<u2"))
+        if held:
+            yield trained(now)
 
     return run
 
@@ -143,14 +159,18 @@ def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 REPLICA = "part long, n double, p binary"
 
 
-def train(encoded: DataFrame, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rounds of replicas over all training texts, each text in one round; averages of averages of GATHER groups come to the driver."""
+def train(encoded: DataFrame, p: dict[str, np.ndarray], tokens: int) -> dict[str, np.ndarray]:
+    """Rounds of replicas over all training texts (of so many tokens), each text in one round; averages of groups of replicas come to the driver."""
     sc = encoded.sparkSession.sparkContext
+    shards = max(1, round(tokens / ROUNDS / REPLICA_TOKENS))
+    groups = max(GATHER, math.isqrt(shards))
+    dealt = encoded.where(~F.col("held_out")).select("ids", F.xxhash64("doc_id", "ids").alias("h"))
     for r, rate in enumerate(RATES):
-        own = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == r)).select("ids")
+        own = dealt.where(F.pmod("h", F.lit(ROUNDS)) == r).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "ids")
         shared = sc.broadcast(gru.pack(p))
-        replicas = own.mapInArrow(_replica(shared, rate), REPLICA).withColumn("g", F.pmod("part", F.lit(GATHER)))
-        means = replicas.repartition(GATHER, "g").sortWithinPartitions("part").select("part", "n", "p").mapInArrow(_sum, REPLICA).collect()
+        sorted_by_shard = own.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+        replicas = sorted_by_shard.mapInArrow(_replica(shared, rate), REPLICA).withColumn("g", F.pmod("part", F.lit(groups)))
+        means = replicas.repartition(groups, "g").sortWithinPartitions("part").select("part", "n", "p").mapInArrow(_sum, REPLICA).collect()
         if total := sum(m["n"] for m in means):
             means.sort(key=lambda m: (m["n"], bytes(m["p"])))
             mean = sum(np.frombuffer(m["p"], "<f4").astype(np.float64) * (m["n"] / total) for m in means)
@@ -171,16 +191,17 @@ def _scorer(shared, zs: np.ndarray):
 
 
 def _head(counts: DataFrame) -> pa.Table:
-    """The most frequent words of at most HEAD_BYTES: all above the least count with which there are at most HEAD of them."""
-    short = counts.where(F.octet_length("word") <= HEAD_BYTES)
-    bins = short.groupBy(F.floor(F.log2("c") * 16).cast("long").alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
-    total, least = 0, None
-    for b in sorted(bins, key=lambda x: -x["b"]):
-        total += b["n"]
-        if total > HEAD:
+    """The most frequent words of at most HEAD_BYTES, HEAD of them or so: by bins of counts, and of the bin that is too large a share by hash."""
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("b", F.floor(F.log2("c") * 16).cast("long"))
+    bins = {r["b"]: r["n"] for r in short.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    total, share, b = 0, SLICES, None
+    for b in sorted(bins, reverse=True):
+        if total + bins[b] > HEAD:
+            share = int(SLICES * 0.95 * (HEAD - total) / bins[b])
             break
-        least = b["c"]
-    table = short.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
+        total += bins[b]
+    some = (F.col("b") > b) | ((F.col("b") == b) & (F.pmod(F.xxhash64("word"), F.lit(SLICES)) < share)) if bins else F.lit(False)
+    table = short.where(some).select("word", "c").toArrow()
     return table.cast(pa.schema([("word", pa.binary()), ("c", pa.int64())])).sort_by([("c", "descending"), ("word", "ascending")])
 
 
@@ -219,7 +240,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     tails = encoded.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     found = tails.join(counts, "word").groupBy("rid").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_sum"))
     found = written(found, "tails")
-    p = train(encoded.select("rid", "held_out", "ids"), gru.initial(counted, SIZE))
+    p = train(encoded.select("doc_id", "held_out", "ids"), gru.initial(counted, SIZE), n)
     model = encoded.select("rid", "ids").mapInArrow(_scorer(spark.sparkContext.broadcast(gru.pack(p)), zs), "rid long, model double")
     base = encoded.drop("ids", "tail", "tail_n").join(found, "rid", "left").join(model, "rid")
     end = float(np.log10(ends + 1.0))
