@@ -259,23 +259,27 @@ def merged(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length: n
 # ---- adapters ---------------------------------------------------------------------------------
 
 
-def gap_match(ins: np.ndarray, normal: np.ndarray, size: int, limit: int, first: bool = True) -> np.ndarray:
+def gap_match(ins: np.ndarray, normal: np.ndarray, size: int, limit: int) -> np.ndarray:
     """Whether rows of ins match rows of normal over `size` bases with one base more within ins: the number of differences, or -1."""
     x = (ins[:, :size] != normal[:, :size]).astype(np.int64)
     y = (ins[:, 1 : size + 1] != normal[:, :size]).astype(np.int64)
-    tail = y[:, -1]
-    prefix = np.cumsum(x, axis=1)[:, : size - 1]
-    suffix = y.sum(axis=1)[:, None] - np.cumsum(y, axis=1)[:, : size - 1]
-    diff = prefix + suffix
-    over = prefix + tail[:, None] > limit
-    stopped = first_true(over, np.full(len(x), size - 1))
-    open_ = np.arange(size - 1)[None, :] < stopped[:, None]
-    fine = (diff <= limit) & open_
-    start = x[:, 0] + tail <= limit
-    if first:
-        return np.where(start & fine.any(axis=1), diff[np.arange(len(x)), fine.argmax(axis=1)], -1)
-    best = diff.min(axis=1)
-    return np.where(start & ~over.any(axis=1) & (best <= limit), best, -1)
+    diff = (np.cumsum(x, axis=1) - np.cumsum(y, axis=1) + y.sum(axis=1)[:, None])[:, : size - 1]
+    fine = diff <= limit
+    return np.where(fine.any(axis=1), diff[np.arange(len(x)), fine.argmax(axis=1)], -1)
+
+
+def gap_near(ins: np.ndarray, normal: np.ndarray, size: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether rows of ins, over a size of their own, match rows of normal with one base more, wherever it is; no beginning may be over the limit before it."""
+    width = min(ins.shape[1] - 1, normal.shape[1])
+    at = np.arange(width)[None, :]
+    here = at < size[:, None]
+    x = ((ins[:, :width] != normal[:, :width]) & here).astype(np.int16)
+    y = ((ins[:, 1 : width + 1] != normal[:, :width]) & here).astype(np.int16)
+    tail = np.take_along_axis(y, np.clip(size - 1, 0, max(width - 1, 0))[:, None], 1)
+    before = np.cumsum(x, axis=1, dtype=np.int16)
+    diff = before - np.cumsum(y, axis=1, dtype=np.int16) + y.sum(axis=1, dtype=np.int16)[:, None]
+    open_ = at < (size - 1)[:, None]
+    return (x[:, :1] + tail <= limit[:, None])[:, 0] & ~((before + tail > limit[:, None]) & open_).any(axis=1) & ((diff <= limit[:, None]) & open_).any(axis=1)
 
 
 def find_adapter(m: Mates, adapter: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,15 +334,20 @@ def gap_overlap(m1: Mates, m2: Mates, rows: np.ndarray, least: int, most: int, p
     n = len(m1.size)
     found, offset, length = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
     back = COMPLEMENT[m2.reversed()[0]]
-    for i in np.flatnonzero(rows):
-        x, y = m1.seq[i, : m1.size[i]], back[i, : m2.size[i]]
-        for o in [*range(max(len(x) - least, 0)), *(-k for k in range(max(len(y) - least, 0)))]:
-            a, b = x[max(o, 0) :], y[max(-o, 0) :]
-            size = min(len(a), len(b))
-            limit = min(most, size * percent // 100)
-            if size - 1 < 2:
-                continue
-            if (len(a) > size - 1 and gap_match(a[None], b[None], size - 1, limit, False)[0] >= 0) or (len(b) > size - 1 and gap_match(b[None], a[None], size - 1, limit, False)[0] >= 0):
-                found[i], offset[i], length[i] = True, o, size
+    rows = np.flatnonzero(rows)
+    for sign in (1, -1):
+        for k in range(max(m1.seq.shape[1], back.shape[1])):
+            own = rows[k < (m1.size if sign > 0 else m2.size)[rows] - least]
+            if not len(own):
                 break
+            a, b = (m1.seq[own, k:], back[own]) if sign > 0 else (m1.seq[own], back[own, k:])
+            size = np.minimum(m1.size[own] - k, m2.size[own]) if sign > 0 else np.minimum(m1.size[own], m2.size[own] - k)
+            width = int(size.max(initial=0))
+            if width < 3:
+                continue
+            a, b = (np.pad(x[:, :width], ((0, 0), (0, max(0, width - x.shape[1])))) for x in (a, b))
+            limit = np.minimum(most, size * percent // 100)
+            hit = (size >= 3) & (gap_near(a, b, size - 1, limit) | gap_near(b, a, size - 1, limit))
+            found[own[hit]], offset[own[hit]], length[own[hit]] = True, sign * k, size[hit]
+            rows = rows[~found[rows]]
     return found, offset, length

@@ -3,6 +3,9 @@
 The order of steps is part of the result: index blacklist, name repair, UMI, trims and cuts, poly-G, overlap, insert size, correction,
 adapters, dimers, overlapped region, poly-X, maximal length, filters, merge. The kernel keeps nothing between batches, so any partitioning
 gives the same rows; counters are columns, and totals are ordinary sums.
+
+Defined results: a null sequence or quality is empty; an empty read is too short; a pair without mate 2 is a single read; repeated ordinals are records of
+their own; no rows give no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from readloom.functions.mates import Mates
 from readloom.options import Options
 from readloom.session import ship
 
-#: Reasons in order of severity; a pair's reason is the larger of its mates'.
+#: Reasons in order of severity; a pair's reason is the larger of its mates'.
 REASONS = ("passed_filter", "too_many_N", "too_short", "too_long", "low_quality", "low_complexity", "adapter_dimer")
 PASS, MANY_N, SHORT, LONG, QUALITY, COMPLEXITY, DIMER = range(7)
 
@@ -107,7 +110,7 @@ def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
                 m.resize(keep, by_overlap)
                 trimmed[i] |= by_overlap
         least = 6 if len(o.adapter_fasta) > 256 else 5 if len(o.adapter_fasta) > 16 else 4
-        second = o.adapter_sequence_r2 or o.adapter_sequence
+        second = o.adapter_sequence_r2 or (None if o.detect_adapter_for_pe else o.adapter_sequence)
         for i, m in enumerate(both):
             own = (o.adapter_sequence, second)[i]
             for adapter, k, free in [(own, 4, ~by_overlap)] * bool(own) + [(x, least, np.ones(n, bool)) for x in o.adapter_fasta]:

@@ -1,4 +1,8 @@
-"""Duplicates: a record whose key an earlier record (by ordinal) had. No sequential state; the result is that of a scan in input order."""
+"""Duplicates: a record whose key an earlier record (by ordinal) had. No sequential state; the result is that of a scan in input order.
+
+Defined results: null sequences are empty; records without bases are alike; of equal ordinals none is earlier than the other; no reads, no rows; other columns are
+kept.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import mates
-from readloom.session import ship
+from readloom.session import ship, written
 
 #: By accuracy level, the bits of each filter and their number.
 LEVELS = {1: (32, 2), 2: (33, 2), 3: (33, 4), 4: (34, 4), 5: (35, 4), 6: (35, 8)}
@@ -69,7 +73,7 @@ def mark_bloom(reads: DataFrame, level: int = 1) -> DataFrame:
     ship(reads.sparkSession)
     n = LEVELS[level][1]
     bits = reads.select("ordinal", "seq1", "seq2").mapInArrow(_bits(level), "ordinal long, " + ", ".join(f"b{i} long" for i in range(n)))
-    rows = bits.select("ordinal", F.posexplode(F.array(*(f"b{i}" for i in range(n)))).alias("i", "bit"))
+    rows = written(bits, "bits").select("ordinal", F.posexplode(F.array(*(f"b{i}" for i in range(n)))).alias("i", "bit"))
     first = rows.groupBy("i", "bit").agg(F.min("ordinal").alias("_first"))
     told = rows.join(first, ["i", "bit"]).groupBy("ordinal").agg(F.min((F.col("_first") < F.col("ordinal")).cast("int")).alias("_all"))
     return reads.join(told, "ordinal").withColumn("duplicate", F.col("_all") == 1).drop("_all")

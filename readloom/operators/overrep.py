@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.sinks import numbered
 from readloom.session import ship
 
 #: Bases of the prefix, reads that tell the length, most reads looked at for the prefix.
@@ -86,13 +87,29 @@ def _count(wanted: frozenset[str], lengths: list[int]):
     return run
 
 
+def _reported(rows: DataFrame, seq: str, wanted: frozenset[str], lengths: list[int], sampling: int) -> DataFrame:
+    """(sequence, n) over the given rows, of those frequent enough."""
+    counted = rows.select(seq).mapInArrow(_count(wanted, lengths), "sequence string, n long")
+    most = F.lit(REPORT_OTHER)
+    for k, n in REPORT.items():
+        most = F.when(F.length("sequence") == k, n).otherwise(most)
+    return counted.groupBy("sequence").agg(F.sum("n").alias("n")).where(sampling * F.col("n") > most)
+
+
 def overrepresented(reads: DataFrame, seq: str = "seq1", sampling: int = 20) -> DataFrame:
     """(sequence, n) of sequences over-represented in the reads whose ordinal the sampling divides."""
     ship(reads.sparkSession)
     counted, longest = window_counts(reads, seq)
     wanted = frozenset(irredundant({r["sequence"]: r["n"] for r in counted.collect()}))
-    rows = reads.where(F.col("ordinal") % sampling == 0).select(seq).mapInArrow(_count(wanted, steps(longest)), "sequence string, n long")
-    most = F.lit(REPORT_OTHER)
-    for k, n in REPORT.items():
-        most = F.when(F.length("sequence") == k, n).otherwise(most)
-    return rows.groupBy("sequence").agg(F.sum("n").alias("n")).where(sampling * F.col("n") > most)
+    return _reported(reads.where(F.col("ordinal") % sampling == 0), seq, wanted, steps(longest), sampling)
+
+
+def both(raw: DataFrame, passed: DataFrame, mate: int, sampling: int = 20) -> dict[str, dict[str, int]]:
+    """Over-represented sequences of a mate by stage: before, by the ordinal read; after, by the place among the reads that passed."""
+    ship(raw.sparkSession)
+    seq = f"seq{mate}"
+    counted, longest = window_counts(raw, seq)
+    wanted, lengths = frozenset(irredundant({r["sequence"]: r["n"] for r in counted.collect()})), steps(longest)
+    ranked = numbered(passed.where(F.col("mate") == mate).select("ordinal", F.col("seq").alias(seq)))
+    rows = {"before": raw.where(F.col("ordinal") % sampling == 0), "after": ranked.where(F.col("rank") % sampling == 0)}
+    return {stage: {r["sequence"]: r["n"] for r in _reported(x, seq, wanted, lengths, sampling).collect()} for stage, x in rows.items()}

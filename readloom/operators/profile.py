@@ -1,4 +1,8 @@
-"""Quality-control profiles as tidy tables. Kernels sum within a batch of rows before anything is shuffled."""
+"""Quality-control profiles as tidy tables. Kernels sum within a batch of rows before anything is shuffled.
+
+Defined results: reads without bases count as reads and give no cycles; a mate that is null is no read; no reads, no rows; repeated ordinals are reads of
+their own; other columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,22 @@ def long_form(reads: DataFrame, stage: str = "before") -> DataFrame:
     return reads.select("ordinal", F.explode(each).alias("r")).where("r.seq is not null").select(F.lit(stage).alias("stage"), "r.mate", "ordinal", "r.seq", "r.qual")
 
 
+def after(done: DataFrame, o) -> DataFrame:
+    """Reads that the chain lets pass, as one row each, like `long_form`: merged pairs and, with include_unmerged, single mates count as mate 1."""
+    kept = done.where("not skipped")
+    if o.dedup and "duplicate" in done.columns:
+        kept = kept.where("not duplicate")
+    one = lambda mate, seq, qual: F.struct(F.lit(mate).alias("mate"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
+    ok1, ok2, single = F.col("fail1") == 0, F.col("fail2") == 0, F.col("seq2").isNull()
+    none = F.lit(None)
+    if not o.merge:
+        each = F.when(ok1 & single, F.array(one(1, "seq1", "qual1"))).when(ok1 & ok2, F.array(one(1, "seq1", "qual1"), one(2, "seq2", "qual2")))
+    else:
+        alone = F.filter(F.array(F.when(ok1, one(1, "seq1", "qual1")), F.when(ok2, one(1, "seq2", "qual2"))), lambda x: x.isNotNull()) if o.include_unmerged else none
+        each = F.when(F.col("merged_seq").isNotNull(), F.when(ok1, F.array(one(1, "merged_seq", "merged_qual")))).otherwise(alone)
+    return kept.select("ordinal", F.explode(each).alias("r")).select(F.lit("after").alias("stage"), "r.mate", "ordinal", "r.seq", "r.qual")
+
+
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["stage", "mate", "kind", "cycle", "code", "n", "qsum"]
     for batch in batches:
@@ -86,7 +106,7 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def _kmers(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = np.full(256, -1, np.int64)
+        code = np.full(256, 4, np.int16)
         for i, b in enumerate("ACGT"):
             code[ord(b)] = code[ord(b.lower())] = i
         for batch in batches:
@@ -94,14 +114,17 @@ def _kmers(k: int):
             for s in np.unique(stage):
                 for m in np.unique(mate[stage == s]):
                     seq, _ = mates.matrix(batch.column(2).take(pa.array(np.flatnonzero((stage == s) & (mate == m)))))
-                    c = code[seq]
-                    if c.shape[1] < k:
-                        continue
-                    windows = np.lib.stride_tricks.sliding_window_view(c, k, axis=1)
-                    good = (windows >= 0).all(axis=2)
-                    n = np.bincount((windows[good] * 4 ** np.arange(k - 1, -1, -1)).sum(axis=1), minlength=4**k)
+                    n, width = np.zeros(4**k, np.int64), seq.shape[1] - k + 1
+                    for low in range(0, len(seq) if width > 0 else 0, 2048):
+                        c = code[seq[low : low + 2048]]
+                        number, good = np.zeros((len(c), width), np.int16), np.ones((len(c), width), bool)
+                        for i in range(k):
+                            part = c[:, i : i + width]
+                            number = number * 4 + part
+                            good &= part < 4
+                        n += np.bincount(number[good], minlength=4**k)
                     hit = np.flatnonzero(n)
-                    yield pa.record_batch([pa.array([str(s)] * len(hit)), pa.array([int(m)] * len(hit), pa.int32()), pa.array(hit.astype(np.int32)), pa.array(n[hit].astype(np.int64))], names=["stage", "mate", "code", "n"])
+                    yield pa.record_batch([pa.array([str(s)] * len(hit)), pa.array([int(m)] * len(hit), pa.int32()), pa.array(hit.astype(np.int32)), pa.array(n[hit])], names=["stage", "mate", "code", "n"])
 
     return run
 
@@ -120,6 +143,29 @@ def insert_sizes(processed: DataFrame, most: int = 512) -> DataFrame:
     return processed.where("not skipped and insert_size is not null").groupBy(F.least("insert_size", F.lit(most)).alias("size")).agg(F.count("*").alias("n"))
 
 
+def insert_peak(processed: DataFrame, most: int = 512) -> DataFrame:
+    """One row (peak, unknown): the most frequent insert size under `most`, the least of equals, and the pairs without a size under it."""
+    size = F.least(F.coalesce("insert_size", F.lit(most)), F.lit(most))
+    n = processed.where("not skipped and seq2 is not null").groupBy(size.alias("size")).agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("size") < most, F.struct("n", (-F.col("size")).alias("s"))))
+    return n.agg(F.coalesce(-best["s"], F.lit(0)).cast("int").alias("peak"), F.coalesce(F.sum(F.when(F.col("size") == most, F.col("n"))), F.lit(0)).alias("unknown"))
+
+
+def event_totals(done: DataFrame, o) -> DataFrame:
+    """One row: records, adapter, correction and poly-X totals (by base in the order ATCG), merged pairs."""
+    kept = lambda x: F.when(~F.col("skipped"), x)
+    total = lambda x: F.coalesce(F.sum(kept(x)), F.lit(0)).cast("long")
+    poly = [(b, i) for i, b in enumerate("ATCG")]
+    reads = [sum((F.when(F.col(f"polyx_base{m}") == i, 1).otherwise(0) for m in (1, 2)), F.lit(0)) for _, i in poly]
+    bases = [sum((F.when(F.col(f"polyx_base{m}") == i, F.col(f"polyx_n{m}")).otherwise(0) for m in (1, 2)), F.lit(0)) for _, i in poly]
+    merged = (F.col("merged_seq").isNotNull() & (F.col("fail1") == 0)) & (~F.col("duplicate") if o.dedup and "duplicate" in done.columns else F.lit(True))
+    return done.agg(
+        F.count("*").alias("records"), *(total(F.col(c)).alias(c) for c in ("adapter_reads", "adapter_bases", "corrected_reads", "corrected_bases")),
+        *(total(x).alias(f"polyx_reads_{b}") for x, (b, _) in zip(reads, poly, strict=True)), *(total(x).alias(f"polyx_bases_{b}") for x, (b, _) in zip(bases, poly, strict=True)),
+        total(merged.cast("int")).alias("merged_pairs"),
+    )
+
+
 def failure_counts(processed: DataFrame, o) -> DataFrame:
     """Reads by reason: a pair counts twice under the graver of its mates' reasons; with include_unmerged each mate of an unmerged pair under its own."""
     from readloom.operators.chain import REASONS

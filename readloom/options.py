@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+
+#: Adapters that detection knows unless it is given others. A longer list is a parameter (`known_adapters`, a FASTA file on the command line).
+KNOWN_ADAPTERS = (
+    "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA",
+    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT",
+    "CTGTCTCTTATACACATCT",
+    "TGGAATTCTCGGGTGCCAAGG",
+)
 
 
 @dataclass(frozen=True)
@@ -61,7 +69,7 @@ class Options:
     overlap_diff_percent_limit: int = 20
     merge: bool = False
     include_unmerged: bool = False
-    overlapped_out: bool = False
+    overlapped_out: str | bool | None = False
     # names
     umi: bool = False
     umi_loc: str = ""
@@ -86,11 +94,85 @@ class Options:
     split_by_lines: int | None = None
     split_prefix_digits: int = 4
     report_title: str = "readloom report"
-    extra: dict = field(default_factory=dict, compare=False)
+    # inputs and outputs
+    in1: str = ""
+    in2: str | None = None
+    interleaved_in: bool = False
+    stdin: bool = False
+    stdout: bool = False
+    out1: str | None = None
+    out2: str | None = None
+    unpaired1: str | None = None
+    unpaired2: str | None = None
+    merged_out: str | None = None
+    failed_out: str | None = None
+    json: str = "readloom.json"
+    html: str = "readloom.html"
+    stats_format: str = "compact"
+    compression: int = 4
+    dont_overwrite: bool = False
+    verbose: bool = False
+    known_adapters: tuple[str, ...] = KNOWN_ADAPTERS
+
+    @property
+    def paired(self) -> bool:
+        return self.in2 is not None or self.interleaved_in
+
+    def normalized(self) -> "Options":
+        """These options as a run takes them: what one sets or clears in others."""
+        new = {"umi_loc": self.umi_loc.lower()}
+        new["in1"] = source = "-" if self.stdin or self.in1 == "/dev/stdin" else self.in1
+        out1 = "-" if self.out1 == "/dev/stdout" else self.out1
+        stdout = self.stdout or out1 == "-"
+        out2, merged, un1, un2 = self.out2, self.merged_out, self.unpaired1, self.unpaired2
+        if self.merge:
+            new["correction"] = True
+            if not merged and not stdout and out1 and not out2:
+                merged, out1 = out1, None
+            if self.include_unmerged:
+                out1 = out2 = un1 = un2 = None
+        if stdout:
+            out1 = out2 = None
+        if not self.paired:
+            un1 = un2 = None
+            new["overlapped_out"] = None
+        new |= {"in1": source, "stdout": stdout, "out1": out1, "out2": out2, "unpaired1": un1, "unpaired2": un2, "merged_out": merged if self.merge else None}
+        return replace(self, **new)
+
+    def validate_run(self) -> "Options":
+        """Normalised options, if they go together; else ValueError. Values are checked too."""
+        o = self.normalized()
+        rules = [
+            (bool(o.in1), "an input is required"),
+            (not (o.interleaved_in and o.in2), "interleaved_in excludes in2"),
+            (not (o.in1 == "-" and o.in2 == "-"), "paired standard input must be interleaved"),
+            (o.paired or not o.out2, "out2 needs paired reads"),
+            (o.stdout or not o.paired or bool(o.out1) == bool(o.out2), "paired output needs both out1 and out2"),
+            (not (o.merge and (o.split or o.split_by_lines)), "merge and split exclude each other"),
+            (not o.merge or o.merged_out or o.stdout, "merge needs merged_out or stdout"),
+            (not o.include_unmerged or o.merge, "include_unmerged needs merge"),
+            (not (o.trim_poly_g and o.disable_trim_poly_g), "trim_poly_g and disable_trim_poly_g exclude each other"),
+            (o.poly_g_min_len > 0 and o.poly_x_min_len > 0, "poly_g_min_len and poly_x_min_len must be positive"),
+            (o.stats_format in ("compact", "pretty", "jsonl", "off"), "stats_format is unknown"),
+            (not (o.split and o.in1 == "-"), "standard input cannot be split by a number of files"),
+            (not (o.stdout and (o.split or o.split_by_lines)), "standard output cannot be split"),
+            (1 <= o.compression <= 9, "compression must be 1-9"),
+            (all(a is None or a == "auto" or (len(a) >= 4 and not a.upper().strip("ACGT")) for a in (o.adapter_sequence, o.adapter_sequence_r2)), "an adapter needs at least four of A, C, G, T and nothing else"),
+            (all(len(a) >= 6 and not a.strip("ACGT") for a in o.adapter_fasta), "a FASTA adapter needs at least six of A, C, G, T and nothing else"),
+        ]
+        for good, said in rules:
+            if not good:
+                raise ValueError(said)
+        return o.validate(o.paired)
 
     def validate(self, paired: bool = True) -> "Options":
         """These options, if their values are allowed; else ValueError."""
+        windows = [getattr(self, f"cut_{k}_window_size") for k in ("front", "tail", "right")]
+        levels = [getattr(self, f"cut_{k}_mean_quality") for k in ("front", "tail", "right")]
         rules = [
+            (all(1 <= w <= 1000 for w in windows if w is not None), "a cut's window must be 1-1000"),
+            (all(1 <= q <= 36 for q in levels if q is not None), "a cut's mean quality must be 1-36"),
+            (0 <= self.average_qual <= 93, "average_qual must be 0-93"),
             (0 <= self.qualified_quality_phred <= 93, "qualified_quality_phred must be 0-93"),
             (0 <= self.unqualified_percent_limit <= 100, "unqualified_percent_limit must be 0-100"),
             (0 <= self.complexity_threshold <= 100, "complexity_threshold must be 0-100"),

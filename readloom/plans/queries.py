@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import exprs
 from readloom.operators import chain as ch
 from readloom.operators import dedup, overrep, profile, sinks
-from readloom.options import Options
+from readloom.options import KNOWN_ADAPTERS, Options
 from readloom.sources.recipe import READS_SQL, reads
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -93,12 +95,18 @@ _QSUM = "list_sum(list_transform(range(1, length({q}) + 1), lambda i: ascii({q}[
 
 @query(f"""select ordinal, cast({_BELOW.format(q='qual1')} as int) as unqualified, cast({_QSUM.format(q='qual1')} as bigint) as quality_sum,
 cast({_N.format(s='seq1')} as int) as n_bases, case when {_BELOW.format(q='qual1')} > 40 * length(seq1) / 100.0 then 4
-when {_QSUM.format(q='qual1')} // length(seq1) < 30 then 4 when {_N.format(s='seq1')} > 5 then 1 when length(seq1) > 140 and ordinal < 0 then 3
+when {_QSUM.format(q='qual1')} // length(seq1) < 30 then 4 when {_N.format(s='seq1')} > 5 then 1 when length(seq1) > 149 and ordinal % 2 = 0 then 3
 when {_STEPS.format(s='seq1')} / (length(seq1) - 1) < 0.70 then 5 else 0 end as reason from reads""")
 def filter_each_rule(spark, d) -> DataFrame:
     s, q = F.col("seq1"), F.col("qual1")
     o = Options(average_qual=30, low_complexity_filter=True, complexity_threshold=70)
-    return reads(spark, d).select("ordinal", exprs.count_below(q, 15).alias("unqualified"), exprs.quality_sum(q).cast("long").alias("quality_sum"), exprs.count_n(s).alias("n_bases"), exprs.reason(s, q, o).alias("reason"))
+    told = F.when(F.col("ordinal") % 2 == 0, exprs.reason(s, q, replace(o, length_limit=149))).otherwise(exprs.reason(s, q, o))
+    return reads(spark, d).select("ordinal", exprs.count_below(q, 15).alias("unqualified"), exprs.quality_sum(q).cast("long").alias("quality_sum"), exprs.count_n(s).alias("n_bases"), told.alias("reason"))
+
+
+@query(f"select ordinal, case when {_BELOW.format(q='qual1')} > 60 then 4 when {_N.format(s='seq1')} > 5 then 1 when length(seq1) > 120 then 3 else 0 end as fail1 from reads")
+def length_limit(spark, d) -> DataFrame:
+    return ch.chain(reads(spark, d), Options(disable_adapter_trimming=True, length_limit=120)).select("ordinal", "fail1")
 
 
 @query(f"select ordinal, case when {_STEPS.format(s='seq1')} / (length(seq1) - 1) < 0.72 then 5 else 0 end as fail1 from reads")
@@ -116,8 +124,8 @@ def pair_verdict(spark, d) -> DataFrame:
 select unnest(case when f1 = 0 and f2 = 0 then ['out1', 'out2'] when f1 = 0 then ['unpaired1', 'failed'] when f2 = 0 then ['failed', 'unpaired2'] else [] end) as route
 from (select {_reason(1)} as f1, {_reason(2)} as f2 from reads)) group by route""")
 def unpaired_failed_routes(spark, d) -> DataFrame:
-    done = ch.chain(reads(spark, d), Options(disable_adapter_trimming=True))
-    return sinks.routes(done, Options(disable_adapter_trimming=True)).groupBy("route").agg(F.count("*").alias("reads"))
+    o = Options(disable_adapter_trimming=True, unpaired1="a", unpaired2="b")
+    return sinks.routes(ch.chain(reads(spark, d), o), o).groupBy("route").agg(F.count("*").alias("reads"))
 
 
 @query("select ordinal, seq1 from reads where not (regexp_extract(name1, ':([ACGT]+)[+]', 1) = 'ACGT')")
@@ -251,6 +259,23 @@ f as (select ordinal, count(*) filter (b1 <> b2 and q1 >= 63 and q2 <= 47) as to
 """
 
 
+_FIXED = """, c as (select ordinal, greatest(o, 0) + i + 1 as p1, length(seq2) - i - greatest(-o, 0) as p2, seq1, seq2, qual1, qual2,
+  seq1[greatest(o, 0) + i + 1] as b1, translate(seq2[length(seq2) - i - greatest(-o, 0)], 'ACGT', 'TGCA') as b2,
+  qual1[greatest(o, 0) + i + 1] as q1, qual2[length(seq2) - i - greatest(-o, 0)] as q2 from p),
+w as (select *, b1 <> b2 and ascii(q1) >= 63 and ascii(q2) <= 47 as to2, b1 <> b2 and ascii(q2) >= 63 and ascii(q1) <= 47 as to1 from c),
+m as (select ordinal, seq1, seq2, qual1, qual2, map_from_entries(coalesce(list((p1, b2)) filter (to1), [])) as s1, map_from_entries(coalesce(list((p1, q2)) filter (to1), [])) as k1,
+  map_from_entries(coalesce(list((p2, translate(b1, 'ACGT', 'TGCA'))) filter (to2), [])) as s2, map_from_entries(coalesce(list((p2, q1)) filter (to2), [])) as k2
+  from w group by all having count(*) filter (to1 or to2) > 0)
+"""
+_PUT = "list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: coalesce({m}[i], {x}[i])), 'string_agg', '')"
+
+
+@query(_OVERLAP + _FIXES.split(", b as")[0].rstrip().rstrip(",").replace("reads.seq1", "reads.seq1") + _FIXED.replace("w as (select *, b1", "w2 as (select *, b1").replace("from w group", "from w2 group")
+       + f"select ordinal, {_PUT.format(x='seq1', m='s1')} as seq1, {_PUT.format(x='qual1', m='k1')} as qual1, {_PUT.format(x='seq2', m='s2')} as seq2, {_PUT.format(x='qual2', m='k2')} as qual2 from m")
+def corrected_records(spark, d) -> DataFrame:
+    return ch.chain(reads(spark, d), OVERLAP_ONLY).where("corrected_bases > 0").select("ordinal", "seq1", "qual1", "seq2", "qual2")
+
+
 @query(_OVERLAP + _FIXES + "select ordinal, cast(to1 + to2 as int) as corrected_bases, cast(least(to1, 1) + least(to2, 1) as int) as corrected_reads from f where to1 + to2 > 0")
 def correction(spark, d) -> DataFrame:
     return ch.chain(reads(spark, d), OVERLAP_ONLY).where("corrected_bases > 0").select("ordinal", "corrected_bases", "corrected_reads")
@@ -262,6 +287,14 @@ def merge_pairs(spark, d) -> DataFrame:
     return ch.chain(reads(spark, d), only(merge=True)).where("merged_seq is not null").select("ordinal", F.length("merged_seq").alias("merged_len"), "merged_name")
 
 
+@query(_OVERLAP + """select ordinal, concat(substr(seq1, 1, len + greatest(o, 0)), case when o > 0 then substr(reverse(translate(seq2, 'ACGT', 'TGCA')), len + 1) else '' end) as merged_seq,
+concat(substr(qual1, 1, len + greatest(o, 0)), case when o > 0 then substr(reverse(qual2), len + 1) else '' end) as merged_qual
+from ov join reads using (ordinal) where ordinal % 3 = 1 and diff = 0""")
+def merged_records(spark, d) -> DataFrame:
+    """Pairs that nothing corrects, with what is merged of them."""
+    return ch.chain(reads(spark, d), only(merge=True)).where("merged_seq is not null and ov_diff = 0 and ordinal % 3 = 1").select("ordinal", "merged_seq", "merged_qual")
+
+
 @query(_OVERLAP.replace("least(5, len * 20 // 100)", "0") + "select ordinal, substr(seq1, greatest(o, 0) + len + 1) as overlapped_seq from ov join reads using (ordinal) where diff = 0")
 def overlapped_region(spark, d) -> DataFrame:
     return ch.chain(reads(spark, d), only(overlapped_out=True)).where("overlapped_seq is not null").select("ordinal", "overlapped_seq")
@@ -329,6 +362,58 @@ def kmer5(spark, d) -> DataFrame:
     return profile.kmers(profile.long_form(reads(spark, d)))
 
 
+_PASSED = f"select ordinal, seq1, seq2, qual1, qual2 from reads where {_reason(1)} = 0 and {_reason(2)} = 0"
+
+
+@query(_WITH + f""", k as ({_PASSED}), l as (select 1 as mate, seq1 as seq, qual1 as qual from k union all select 2, seq2, qual2 from k)
+select 'after' as stage, mate, {_TOTALS} from l group by mate""")
+def after_totals(spark, d) -> DataFrame:
+    o = Options(disable_adapter_trimming=True)
+    return profile.totals(profile.after(ch.chain(reads(spark, d), o), o))
+
+
+@query(_OVERLAP + """, g as (select least(cast(case when o > 0 then 300 - len else len end as int), 512) as size, count(*) as n from ov group by 1)
+select cast((select size from g where size < 512 order by n desc, size limit 1) as int) as peak,
+cast((select count(*) from reads) - (select sum(n) from g where size < 512) as bigint) as unknown""")
+def insert_peak(spark, d) -> DataFrame:
+    return profile.insert_peak(ch.chain(reads(spark, d), OVERLAP_ONLY))
+
+
+@query(f"""with x as ({{POLY}}) select {', '.join(f"cast(count(*) filter (polyx_base1 = {i}) as bigint) as polyx_reads_{b}, cast(coalesce(sum(polyx_n1) filter (polyx_base1 = {i}), 0) as bigint) as polyx_bases_{b}" for i, b in enumerate('ATCG'))},
+count(*) as records from x""")
+def polyx_totals(spark, d) -> DataFrame:
+    single = reads(spark, d).select("ordinal", "name1", "seq1", "plus1", "qual1")
+    o = only(trim_poly_x=True)
+    return profile.event_totals(ch.chain(single, o), o).select(*(f"polyx_{k}_{b}" for b in "ATCG" for k in ("reads", "bases")), "records")
+
+
+ORACLE_SQL["polyx_totals"] = ORACLE_SQL["polyx_totals"].replace("{POLY}", "select * from (" + ORACLE_SQL["poly_x"].split(READS_SQL + ")")[1] + ")").replace("with x as", ", x as").replace(f"({READS_SQL}) , x", f"({READS_SQL}), x")
+
+
+@query(_OVERLAP + "select count(*) as merged_pairs from ov")
+def merged_pairs(spark, d) -> DataFrame:
+    o = only(merge=True)
+    return profile.event_totals(ch.chain(reads(spark, d), o), o).select("merged_pairs")
+
+
+@query(_OVERLAP + "select 'after' as stage, 1 as mate, count(*) as reads, cast(sum(case when o > 0 then 300 - len else len end) as bigint) as bases from ov")
+def after_merged(spark, d) -> DataFrame:
+    o = only(merge=True)
+    return profile.totals(profile.after(ch.chain(reads(spark, d), o), o)).select("stage", "mate", "reads", "bases")
+
+
+@query(f"""select ordinal, mate, concat('@SIM:', cast(ordinal as string), ' ', mate, ':N:0:', idx, ' ', tag) as name from (
+select ordinal, regexp_extract(name1, '0:([ACGT+]+)$', 1) as idx, unnest(case when f1 = 0 and f2 > 0 then ['paired_read_is_failing'] when f1 > 0 and f2 = 0 then [{{T1}}] else [] end) as tag, 1 as mate from f
+union all select ordinal, regexp_extract(name1, '0:([ACGT+]+)$', 1), unnest(case when f1 = 0 and f2 > 0 then [{{T2}}] when f1 > 0 and f2 = 0 then ['paired_read_is_failing'] else [] end), 2 from f)""")
+def failed_records(spark, d) -> DataFrame:
+    o = Options(disable_adapter_trimming=True, failed_out="f")
+    return sinks.routes(ch.chain(reads(spark, d), o), o).where("route = 'failed'").select("ordinal", "mate", F.element_at(F.split("record", "\n"), 1).alias("name"))
+
+
+_TAG = "case {f} when 4 then 'failed_quality_filter' when 1 then 'failed_too_many_n_bases' when 2 then 'failed_too_short' end"
+ORACLE_SQL["failed_records"] = f"with reads as ({READS_SQL}), f as (select *, {_reason(1)} as f1, {_reason(2)} as f2 from reads) " + ORACLE_SQL["failed_records"].split(READS_SQL + ")")[1].replace("{T1}", _TAG.format(f="f1")).replace("{T2}", _TAG.format(f="f2"))
+
+
 # ---- over-represented sequences ---------------------------------------------------------------
 
 
@@ -389,7 +474,7 @@ def split_by_files(spark, d) -> DataFrame:
 
 @query()
 def full_chain_pe(spark, d) -> DataFrame:
-    o = Options(correction=True, cut_tail=True, trim_poly_g=True, trim_poly_x=True, adapter_sequence="AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", adapter_sequence_r2="AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT").validate()
+    o = Options(correction=True, cut_tail=True, trim_poly_g=True, trim_poly_x=True, adapter_sequence=KNOWN_ADAPTERS[0], adapter_sequence_r2=KNOWN_ADAPTERS[1]).validate()
     done = ch.chain(reads(spark, d), o)
     return done.groupBy(F.greatest("fail1", "fail2").alias("verdict")).agg(
         F.count("*").alias("pairs"), F.sum("adapter_bases").alias("adapter_bases"), F.sum("adapter_reads").alias("adapter_reads"), F.sum("corrected_bases").alias("corrected_bases"),
@@ -397,19 +482,55 @@ def full_chain_pe(spark, d) -> DataFrame:
     )
 
 
-@query()
+_A1, _A2 = KNOWN_ADAPTERS[:2]
+
+
+def _adapter(out: str, source: str, adapter: str) -> str:
+    """CTEs that end in `out` (ordinal, s, gone, hit): rows (ordinal, s) with the adapter trimmed; without gaps first, then with a base more, then one less."""
+    k = len(adapter)
+    near = "hamming(substr(s, 1, i), substr('{a}', 1, i)) + {rest} <= n // 8 - 1".replace("{a}", adapter)
+    more, less = f"hamming(substr(s, i + 2, n - i), substr('{adapter}', i + 1, n - i))", f"hamming(substr('{adapter}', i + 2, n - i), substr(s, i + 1, n - i))"
+    return f"""{out}0 as (select ordinal, min(p) as p from (select *, unnest(range(-4, length(s) - 4)) as p from {source} where length(s) > 4)
+  where hamming(substr(s, greatest(p, 0) + 1, least(length(s) - p, {k}) - greatest(-p, 0)), substr('{adapter}', greatest(-p, 0) + 1, least(length(s) - p, {k}) - greatest(-p, 0))) <= least(length(s) - p, {k}) // 8 group by ordinal),
+{out}n as (select *, unnest(range(1, n)) as i from (select *, unnest(range(8, {k} + 1)) as n from {source} where length(s) > 4 and ordinal not in (select ordinal from {out}0))),
+{out}1 as (select ordinal, min(case when n = {k} then 0 else length(s) - 1 - n end) as p from {out}n
+  where case when n <= length(s) - 1 and (case when n = {k} then 0 else length(s) - 1 - n end) < length(s) - 5 then {near.format(rest=more)} else false end group by ordinal),
+{out}2 as (select ordinal, min(case when n = {k} - 1 then 0 else length(s) - n end) as p from {out}n
+  where case when n < {k} and n <= length(s) and (case when n = {k} - 1 then 0 else length(s) - n end) < length(s) - 4 then {near.format(rest=less)} else false end group by ordinal),
+{out} as (select t.ordinal, case when p is null then s else substr(s, 1, greatest(p, 0)) end as s, case when p is null then 0 when p < 0 then {k} + p else length(s) - p end as gone, p is not null as hit
+  from {source} t left join (select ordinal, coalesce(a.p, b.p, c.p) as p from {source} left join {out}0 a using (ordinal) left join {out}1 b using (ordinal) left join {out}2 c using (ordinal)) x using (ordinal))"""
+
+
+@query(_WITH + f", t as (select ordinal, seq1 as s from reads), {_adapter('x', 't', _A1)} select ordinal, s as seq1, cast(gone as int) as adapter_bases, cast(hit as int) as adapter_reads from x")
 def adapter_trim_se(spark, d) -> DataFrame:
     single = reads(spark, d).select("ordinal", "name1", "seq1", "plus1", "qual1")
-    return ch.chain(single, only(disable_adapter_trimming=False, adapter_sequence="AGATCGGAAGAGCACACGTCTGAACTCCAGTCA")).select("ordinal", "seq1", "adapter_bases", "adapter_reads")
+    return ch.chain(single, only(disable_adapter_trimming=False, adapter_sequence=_A1)).select("ordinal", "seq1", "adapter_bases", "adapter_reads")
 
 
-@query()
+@query(_WITH + f""", t as (select ordinal, seq1 as s from reads), {_adapter('x', 't', _A1)}, {_adapter('y', 'x', _A2)}
+select y.ordinal, y.s as seq1, cast(x.gone + y.gone as int) as adapter_bases, cast(x.hit or y.hit as int) as adapter_reads from y join x using (ordinal)""")
 def adapter_fasta(spark, d) -> DataFrame:
-    two = ("AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT")
-    return ch.chain(reads(spark, d), only(disable_adapter_trimming=False, adapter_fasta=two)).select("ordinal", "seq1", "seq2", "adapter_bases", "adapter_reads")
+    single = reads(spark, d).select("ordinal", "name1", "seq1", "plus1", "qual1")
+    return ch.chain(single, only(disable_adapter_trimming=False, adapter_fasta=(_A1, _A2))).select("ordinal", "seq1", "adapter_bases", "adapter_reads")
 
 
-@query()
+@query(_WITH + f""", t as (select ordinal, seq1 as s from reads), u as (select ordinal, seq2 as s from reads), {_adapter('x', 't', _A1)}, {_adapter('y', 'u', _A2)}
+select ordinal, x.s as seq1, y.s as seq2 from x join y using (ordinal) where (x.hit or y.hit) and length(x.s) <= 25 and length(y.s) <= 25""")
 def dimers(spark, d) -> DataFrame:
-    o = Options(adapter_sequence="AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", dimer_max_len=20)
+    o = Options(adapter_sequence=_A1, adapter_sequence_r2=_A2, dimer_max_len=25)
     return ch.chain(reads(spark, d), o).where("fail1 = 6").select("ordinal", "seq1", "seq2")
+
+
+_FULL = _OVERLAP + f""", cut as (select ordinal, len from ov where o < 0), free as (select * from reads where ordinal not in (select ordinal from cut)),
+t as (select ordinal, seq1 as s from free), u as (select ordinal, seq2 as s from free), {_adapter('x', 't', _A1)}, {_adapter('y', 'u', _A2)},
+z as (select ordinal, substr(seq1, 1, len) as s1, substr(qual1, 1, len) as q1, substr(seq2, 1, len) as s2, substr(qual2, 1, len) as q2, 2 as hits, cast(greatest(150 - len, 0) * 2 as int) as gone from cut join reads using (ordinal)
+  union all select ordinal, x.s, substr(qual1, 1, length(x.s)), y.s, substr(qual2, 1, length(y.s)), cast(x.hit as int) + cast(y.hit as int), x.gone + y.gone from x join y using (ordinal) join reads using (ordinal)),
+v as (select *, greatest({_REASON.format(s='s1', q='q1')}, {_REASON.format(s='s2', q='q2')}) as r, hits > 0 and length(s1) <= 2 and length(s2) <= 2 as dimer from z)
+select ordinal, cast(case when dimer then 6 else r end as int) as verdict, s1 as seq1, s2 as seq2, q1 as qual1, cast(gone as int) as adapter_bases, cast(hits as int) as adapter_reads from v"""
+
+
+@query(_FULL)
+def adapter_chain_pe(spark, d) -> DataFrame:
+    """Overlap, adapters by it or else by sequence, dimers and filters of pairs, every record compared."""
+    done = ch.chain(reads(spark, d), Options(adapter_sequence=_A1, adapter_sequence_r2=_A2))
+    return done.select("ordinal", F.greatest("fail1", "fail2").alias("verdict"), "seq1", "seq2", "qual1", "adapter_bases", "adapter_reads")

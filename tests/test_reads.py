@@ -25,7 +25,7 @@ def rows(frame):
     return sorted(tuple(None if v is None else round(float(v), 5) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"poly_x"}))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view orders as select * from '{SF}/orders.parquet'")
