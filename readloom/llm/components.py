@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Every round is two aggregations with map-side minima and joins that may split skewed keys; edges are written to the shared folder after
-each half round, so no lineage grows and nothing of them comes to the driver but a count and a checksum. Rounds needed grow with the
-logarithm of the longest path.
+Every round is two aggregations with map-side minima and joins of two written tables, so that the neighbours of a node that has very many are split; edges are written to
+the shared folder after each half round, so no lineage grows and nothing of them comes to the driver but a count and a checksum. Rounds needed grow
+with the logarithm of the longest path.
 
 Defined results: loops and repeated edges change nothing; no edges, no rows; nodes are longs, never null.
 """
@@ -16,15 +16,17 @@ from readloom.session import drop_written, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), b < a. Large: neighbours above a node go to the least of its neighbourhood. Small: it and those below go there."""
+    """edges (a, b), b < a, written, to written ones. Large: neighbours above a node go to the least of its neighbourhood. Small: it and those below go there."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    new = written(out.where("a <> b").distinct(), "edges")
+    drop_written(least)
+    return new
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     told = None
     while True:
-        half = written(_star(now, True), "edges")
-        new = written(_star(half, False), "edges")
+        half = _star(now, True)
+        new = _star(half, False)
         sums = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         drop_written(now)
         drop_written(half)
