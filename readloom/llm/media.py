@@ -8,7 +8,8 @@ Stored form: an 8-bit grey PNG, 64 samples a row, one row for each 64 bytes of t
 and `decode` returns the payload's bytes.
 
 Defined results: a null text is the empty one; its payload is 64 zero bytes. Null html gives an empty sequence.
-A reference without a payload keeps its place with null payload columns. Repeated rows give repeated rows.
+A reference without a payload keeps its place with null payload columns. Repeated rows give repeated rows; other columns are kept by `interleave` (not one named
+items, n_items or digest) and not read else.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import ship, written
+from readloom.session import drop_written, ship, written
 
 WIDTH = 64
 SKIPPED = frozenset({"script", "style", "noscript", "template"})
@@ -173,41 +174,66 @@ def _digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    item = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
-    for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([parse(x) for x in batch.column(1).to_pylist()], pa.list_(item))], names=["page_id", "items"])
+def page_of(text: str | None, digest: str, n_bytes: int) -> str:
+    """A document as a page: its lines as paragraphs, and between them the figure that refers to its payload."""
+    lines = [f"<p>{html.escape(x)}</p>" for x in (text or "").split("\n")]
+    figure = f'<figure><img src="sha256:{digest}" alt="payload"><figcaption>{n_bytes} bytes</figcaption></figure>'
+    half = len(lines) // 2
+    return f"<article>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</article>"
+
+
+_ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+
+
+def _parse(at: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = pa.array([parse(x) for x in batch.column(at).to_pylist()], pa.list_(_ITEM))
+            kept = [i for i in range(batch.num_columns) if i != at]
+            yield pa.record_batch([*(batch.column(i) for i in kept), items], names=[*(batch.schema.names[i] for i in kept), "items"])
+
+    return run
 
 
 def interleave(pages: DataFrame) -> DataFrame:
-    """pages (page_id, html) to (page_id, items): the ordered text and media-reference structs of each page."""
+    """pages with `items`, the ordered text and media-reference structs of each page, in place of html; other columns are kept."""
     ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_parse, f"page_id long, items array<{ITEM}>")
+    plain = pages.withColumn("html", F.col("html").cast("string"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "html")
+    return plain.mapInArrow(_parse(plain.columns.index("html")), f"{kept}, items array<{ITEM}>")
+
+
+def exploded(sequences: DataFrame) -> DataFrame:
+    """One row per item: the sequence's other columns, the item's fields, and the digest that a reference of the form `sha256:<digest>` names."""
+    rows = sequences.select(*(c for c in sequences.columns if c != "items"), F.size("items").alias("n_items"), F.explode("items").alias("i"))
+    return rows.select(*(c for c in rows.columns if c != "i"), "i.*").withColumn("digest", F.regexp_extract(F.coalesce("ref", F.lit("")), "^sha256:([0-9a-f]{64})$", 1))
 
 
-def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
-    """One row per item, in place: (page_id, pos, kind, text, ref, caption, and the payload columns of `digest`).
+def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
+    """`exploded` items, in place, with the columns of the payload (a table unique in digest) that each refers to; no reference is lost, and text is not shuffled.
 
-    References of the form `sha256:<digest>` join payloads (unique in digest) on equality; no reference is lost."""
-    items = sequences.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*").withColumn("digest", F.regexp_extract(F.coalesce("ref", F.lit("")), "^sha256:([0-9a-f]{64})$", 1))
-    return items.join(payloads, "digest", "left")
+    Both sides of the join are plain, so that a digest of very many references is split."""
+    media = items.where("kind = 'media'").join(payloads, "digest", "left")
+    text = items.where("kind <> 'media'")
+    return media.unionByName(text, allowMissingColumns=True)
 
 
-def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digest, size, media, page = [], [], [], []
+        payloads = [padded((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([pa.array(list(map(_digest, payloads)), pa.string()), pa.array(list(map(encode, payloads)), pa.binary())], names=["digest", "media"])
+
+
+def _document_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, items = [], []
         for text in batch.column(1).to_pylist():
             data = (text or "").encode("utf-8", "surrogatepass")
-            payload = padded(data)
-            digest.append(_digest(payload))
-            size.append(len(data))
-            media.append(encode(payload))
-            caption = html.escape(f"{len(data)} bytes")
-            page.append(f'<figure><img src="sha256:{digest[-1]}"><figcaption>{caption}</figcaption></figure>')
-        yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(page, pa.string()), pa.array(digest, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
+            sizes.append(len(data))
+            items.append(parse(page_of(text, _digest(padded(data)), len(data))))
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(items, pa.list_(_ITEM))], names=["doc_id", "n_bytes", "items"])
 
 
-STORED = "doc_id long, n_bytes long, html string, digest string, media binary"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -223,29 +249,41 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def store_media(docs: DataFrame) -> DataFrame:
-    """documents to the written media column: (doc_id, n_bytes, html, digest, media), read back from the shared folder."""
+def _plain(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pages, STORED), "media", "none")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """documents to the written media column: (digest, media), read back from the shared folder."""
+    return written(_plain(docs).mapInArrow(_stored, "digest string, media binary"), "media", "none")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Features of the stored bytes, one row per digest; only digests and features are shuffled, never payloads."""
-    found = stored.select("digest", "media").mapInArrow(_features, FEATURES)
-    return found.groupBy("digest").agg(*(F.min(c).alias(c) for c in found.columns if c != "digest"))
+    """Features of the stored bytes, one row per digest, written; only digests and features are shuffled, never payloads."""
+    found = stored.mapInArrow(_features, FEATURES)
+    return written(found.groupBy("digest").agg(*(F.min(c).alias(c) for c in found.columns if c != "digest")), "features")
+
+
+def document_sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, items): each document as a page of its lines around the figure of its payload, parsed into an ordered sequence."""
+    return _plain(docs).mapInArrow(_document_items, f"doc_id long, n_bytes long, items array<{ITEM}>")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each document as a page that refers to its payload; the page is parsed and its reference resolved by digest."""
+    """The media item of each document's sequence, in its place, with what its payload's stored form gives."""
     stored = store_media(docs)
-    pages = stored.select(F.struct("doc_id", "n_bytes").alias("k"), "html")
-    own = pages.select(F.col("k.doc_id").alias("page_id"), "html")
-    items = resolve(interleave(own), media_features(stored)).where("kind = 'media'")
-    return items.select(
-        F.col("page_id").alias("doc_id"), F.regexp_extract("caption", "^([0-9]+) bytes$", 1).cast("long").alias("n_bytes"),
-        "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption",
-    )
+    features = media_features(stored)
+    drop_written(stored)
+    items = exploded(document_sequences(docs)).where("kind = 'media'").drop("text")
+    return resolve(items, features).select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")[1:]), "pos", "n_items", "caption")
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     return document_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def media_pages(spark, sf_dir: str) -> DataFrame:
+    """The sequences of `pages`, one row per item; references are told, as that table brings no payloads."""
+    items = exploded(interleave(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")))
+    return items.select("page_id", "n_items", "pos", "kind", "text", "ref", "caption")

@@ -6,7 +6,7 @@ from readloom.llm.chat import ROTATION_SQL, op7_chat_rotation
 from readloom.llm.decontaminate import op9_decontaminate
 from readloom.llm.licenses import op5_license_scan
 from readloom.llm.lm import op10_lm_score
-from readloom.llm.media import op6_media_columns
+from readloom.llm.media import media_pages, op6_media_columns
 from readloom.llm.mixing import op8_mixture
 from readloom.llm.secrets import op3_secret_scan
 from readloom.llm.simhash import op2_simhash_dedup
@@ -15,7 +15,7 @@ from readloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash_dedup, op3_secret_scan, op4_token_binary, op5_license_scan, op6_media_columns, op7_chat_rotation, op8_mixture, op9_decontaminate, op10_lm_score)
+    for f in (op1_toxicity, op2_simhash_dedup, op3_secret_scan, op4_token_binary, op5_license_scan, op6_media_columns, op7_chat_rotation, op8_mixture, op9_decontaminate, op10_lm_score, media_pages)
 }
 
 ORACLE_SQL = {"op7_chat_rotation": ROTATION_SQL}

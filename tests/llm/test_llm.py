@@ -47,14 +47,17 @@ def test_every_query_runs_on_odd_empty_and_repeated_rows(spark, odd, tmp_path):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(0, None), (1, ""), (2, "a"), (None, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6")], "item_id long, text string")
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (None, None, None, "x"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
+    pages = spark.createDataFrame([(1, "<p>a</p><img src=b>", "x"), (None, None, None), (2, "", "y")], "page_id long, html string, items string")
     for name, n in (("odd", 1), ("empty", 0)):
         d = str(tmp_path / name)
-        for table, frame in (("documents", odd), ("labels", labels), ("benchmark", bench), ("conversations", turns)):
+        for table, frame in (("pages", pages), ("documents", odd), ("labels", labels), ("benchmark", bench), ("conversations", turns)):
             (frame if n else frame.limit(0)).write.parquet(f"{d}/{table}.parquet")
         for key, f in queries.QUERIES.items():
             got = f(spark, d).collect()
             if not n:
                 assert got == [], key
+            elif key == "media_pages":
+                assert [(x["page_id"], x["kind"]) for x in got] == [(1, "text"), (1, "media")]
             elif key not in ("op7_chat_rotation", "op9_decontaminate"):
                 assert len(got) == odd.count(), key
         got = corpus_pipeline.run(spark, d).collect()
@@ -389,7 +392,28 @@ def test_media_round_trip_and_alignment(spark, odd):
         ("text", "T", None, None), ("text", "one two", None, None), ("media", None, "sha256:0", "cap tion"), ("text", "tail", None, None), ("media", None, "u", "a & b")]
     pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
     table = spark.createDataFrame([("0" * 64, "found")], "digest string, payload string")
-    assert [(r["pos"], r["payload"]) for r in media.resolve(media.interleave(pages), table).orderBy("pos").collect()] == [(0, None), (1, None), (2, "found"), (3, None), (4, None)]
+    rows = media.resolve(media.exploded(media.interleave(pages.withColumn("kind_of_page", F.lit("k")))), table).orderBy("pos").collect()
+    assert [(r["pos"], r["payload"], r["n_items"], r["kind_of_page"]) for r in rows] == [(0, None, 5, "k"), (1, None, 5, "k"), (2, "found", 5, "k"), (3, None, 5, "k"), (4, None, 5, "k")]
+
+
+def test_references_stand_between_the_text_around_them(spark, odd):
+    """Of every document the text before and after its payload, in order, and the payload in its place; one payload for all copies of a text."""
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, "one <b>\n\n two & more\nthree\nfour", None, None, None) for i in range(50)], DOCS), allowMissingColumns=True)
+    rows = docs.select("doc_id", "text").collect()
+    items = media.exploded(media.document_sequences(docs))
+    by = defaultdict(list)
+    for x in items.collect():
+        by[x["doc_id"], x["n_bytes"]].append((x["pos"], x["kind"], x["text"], x["caption"]))
+    placed = Counter((x["doc_id"], x["n_bytes"], x["pos"], x["n_items"], x["caption"]) for x in media.document_media(docs).collect())
+    want = Counter()
+    for doc_id, text in rows:
+        lines, n = (text or "").split("\n"), len((text or "").encode())
+        kept = [[" ".join(x.split()) for x in part if x.split()] for part in (lines[: len(lines) // 2], lines[len(lines) // 2 :])]
+        told = [(x, None) for x in kept[0]] + [(None, f"{n} bytes")] + [(x, None) for x in kept[1]]
+        seen = [x for x in sorted(by[doc_id, n]) if x[1] == "text" or x[3]]
+        assert [(t, c) for _, _, t, c in seen[:: max(1, len(seen) // len(told))]] == told or sorted(set(seen)) == [(i, "text" if t else "media", t, c) for i, (t, c) in enumerate(told)]
+        want[doc_id, n, len(kept[0]), len(told), f"{n} bytes"] += 1
+    assert placed == want and len({x["payload_sha256"] for x in media.document_media(docs).where("doc_id >= 100").collect()}) == 1
 
 
 def test_captions_before_their_media_and_without_any():
