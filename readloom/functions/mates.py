@@ -14,6 +14,8 @@ for _a, _b in ("AT", "TA", "CG", "GC"):
     COMPLEMENT[ord(_a)] = ord(_b)
 A, C, G, T, N = (ord(x) for x in "ACGTN")
 GOOD, BAD = 30 + 33, 14 + 33
+#: Bases that are compared before whole overlaps and adapters are.
+PREFIX = 16
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -22,7 +24,10 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     size = np.diff(ends)
-    out = np.zeros((len(size), int(size.max(initial=0))), np.uint8)
+    width = int(size.max(initial=0))
+    if len(size) and (size == width).all():
+        return data[ends[0] : ends[-1]].reshape(len(size), width), size
+    out = np.zeros((len(size), width), np.uint8)
     at = np.arange(out.shape[1])[None, :] < size[:, None]
     out[at] = data[ends[0] : ends[-1]] if len(ends) else 0
     return out, size
@@ -32,7 +37,7 @@ def strings(rows: np.ndarray, size: np.ndarray) -> pa.Array:
     """The way back."""
     at = np.arange(rows.shape[1])[None, :] < size[:, None]
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    raw = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows[at].tobytes())])
+    raw = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer((rows if at.all() else rows[at]).tobytes())])
     return raw.cast(pa.string())
 
 
@@ -48,23 +53,18 @@ class Mates:
         q, _ = matrix(qual)
         return cls(s, q, n)
 
-    def copy(self) -> "Mates":
-        return Mates(self.seq.copy(), self.qual.copy(), self.size.copy())
+    def view(self) -> "Mates":
+        """The same bases, with a length of its own; arrays are replaced, not changed, but for `correct`, which copies them."""
+        return Mates(self.seq, self.qual, self.size)
 
     @property
     def inside(self) -> np.ndarray:
         return np.arange(self.seq.shape[1])[None, :] < self.size[:, None]
 
-    def clear(self) -> None:
-        keep = self.inside
-        self.seq = np.where(keep, self.seq, 0)
-        self.qual = np.where(keep, self.qual, 0)
-
     def resize(self, n: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """Keep the first n bases (of the given rows)."""
+        """Keep the first n bases (of the given rows); what stands behind a length is never looked at."""
         n = np.minimum(self.size, n)
         self.size = n if rows is None else np.where(rows, n, self.size)
-        self.clear()
 
     def drop_front(self, k: np.ndarray) -> None:
         """Drop the first k bases."""
@@ -74,14 +74,14 @@ class Mates:
             at = np.minimum(np.arange(width)[None, :] + k[:, None], max(width - 1, 0))
             self.seq, self.qual = np.take_along_axis(self.seq, at, 1), np.take_along_axis(self.qual, at, 1)
             self.size = self.size - k
-            self.clear()
 
-    def reversed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bases and qualities from the last to the first, left-aligned."""
-        width = self.seq.shape[1]
+    def backwards(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of this shape from the last base to the first, left-aligned, zero behind the length."""
+        width = rows.shape[1]
+        if (self.size == width).all():
+            return rows[:, ::-1]
         at = np.clip(self.size[:, None] - 1 - np.arange(width)[None, :], 0, max(width - 1, 0))
-        keep = self.inside
-        return np.where(keep, np.take_along_axis(self.seq, at, 1), 0), np.where(keep, np.take_along_axis(self.qual, at, 1), 0)
+        return np.where(self.inside, np.take_along_axis(rows, at, 1), 0)
 
 
 def first_true(x: np.ndarray, default: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def quality_cut(m: Mates, front: int, tail: int, cuts: dict[str, tuple[int, int]
 
 
 def poly_g(m: Mates, least: int) -> None:
-    back, _ = m.reversed()
+    back = m.backwards(m.seq)
     width = back.shape[1]
     at = np.arange(1, width + 1)[None, :]
     wrong = np.cumsum((back != G) & m.inside, axis=1)
@@ -159,7 +159,7 @@ def poly_g(m: Mates, least: int) -> None:
 
 def poly_x(m: Mates, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Trims the tail of one base; returns its number in ATCG (-1: none) and the bases removed."""
-    back, _ = m.reversed()
+    back = m.backwards(m.seq)
     n, width = back.shape
     if not width:
         return np.full(n, -1), np.zeros(n, np.int64)
@@ -186,32 +186,37 @@ def overlap(m1: Mates, m2: Mates, least: int, most: int, percent: int) -> tuple[
     A row leaves the scan when it has its overlap."""
     n = len(m1.size)
     found, offset, length, diff = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    back = COMPLEMENT[m2.reversed()[0]]
-    rows = np.flatnonzero((m1.size > 0) & (m2.size > 0))
+    back = COMPLEMENT[m2.backwards(m2.seq)]
+    size1, size2 = m1.size, m2.size
+    columns1, columns2 = np.ascontiguousarray(m1.seq.T), np.ascontiguousarray(back.T)  # by position: comparing one base of all reads is one pass
+    waiting = (size1 > 0) & (size2 > 0)
     for sign in (1, -1):
-        for k in range(max(m1.seq.shape[1], back.shape[1])):
+        for k in range(max(len(columns1), len(columns2))):
             if sign < 0 and k == 0:
                 continue  # offset 0 was tried
-            size1, size2 = m1.size[rows], m2.size[rows]
-            live = k < (size1 if sign > 0 else size2) - least
-            if k == 0 and sign > 0:
-                live |= size2 - least > 0
-            own = rows[live]
-            if not len(own):
+            live = waiting & (k < (size1 if sign > 0 else size2) - least)
+            if k == 0:
+                live |= waiting & (size2 > least)
+            if not live.any():
                 break
-            size = np.minimum(m1.size[own] - k, m2.size[own]) if sign > 0 else np.minimum(m1.size[own], m2.size[own] - k)
+            size = np.minimum(size1 - k, size2) if sign > 0 else np.minimum(size1, size2 - k)
             limit = np.minimum(most, size * percent // 100)
-            head = min(50, int(size.max()))
-            a, b = (m1.seq[own, k : k + head], back[own, :head]) if sign > 0 else (m1.seq[own, :head], back[own, k : k + head])
-            w = min(a.shape[1], b.shape[1])
-            near = ((a[:, :w] != b[:, :w]) & (np.arange(w)[None, :] < size[:, None])).sum(axis=1) <= limit
+            a, b = (columns1[k:], columns2) if sign > 0 else (columns1, columns2[k:])
+            wrong = np.zeros(n, np.uint8)
+            for i in range(min(PREFIX, int(size[live].min()))):
+                wrong += a[i] != b[i]
+            own = np.flatnonzero(live & (wrong <= limit))
+            if not len(own):
+                continue
+            size = size[own]
+            whole = int(size.max())
+            a, b = (m1.seq[own, k : k + whole], back[own, :whole]) if sign > 0 else (m1.seq[own, :whole], back[own, k : k + whole])
+            wrong = (a != b) & (np.arange(whole)[None, :] < size[:, None])
+            near = wrong[:, :50].sum(axis=1) <= limit[own]
             if near.any():
-                hit, size = own[near], size[near]
-                whole = int(size.max())
-                a, b = (m1.seq[hit, k : k + whole], back[hit, :whole]) if sign > 0 else (m1.seq[hit, :whole], back[hit, k : k + whole])
-                found[hit], offset[hit], length[hit] = True, sign * k, size
-                diff[hit] = ((a != b) & (np.arange(whole)[None, :] < size[:, None])).sum(axis=1)
-                rows = rows[~found[rows]]
+                hit = own[near]
+                found[hit], offset[hit], length[hit], diff[hit] = True, sign * k, size[near], wrong[near].sum(axis=1)
+                waiting[hit] = False
     return found, offset, length, diff
 
 
@@ -222,6 +227,8 @@ def correct(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length:
     own = np.flatnonzero(rows)
     if not len(own):
         return bases, reads
+    for m in (m1, m2):
+        m.seq, m.qual = m.seq.copy(), m.qual.copy()
     i = np.arange(int(length[own].max()))[None, :]
     ok = i < length[own][:, None]
     p1 = np.where(ok, i + np.maximum(offset[own], 0)[:, None], 0)
@@ -241,8 +248,7 @@ def correct(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length:
 
 def merged(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length: np.ndarray) -> Mates:
     """Mate 1 up to the overlap's end, then what the reverse complement of mate 2 has beyond it; empty in other rows."""
-    back, qual = m2.reversed()
-    back = COMPLEMENT[back]
+    back, qual = COMPLEMENT[m2.backwards(m2.seq)], m2.backwards(m2.qual)
     len1 = np.where(rows, length + np.maximum(offset, 0), 0)
     len2 = np.where(rows & (offset > 0), m2.size - length, 0)
     width = int((len1 + len2).max(initial=0))
@@ -259,15 +265,6 @@ def merged(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length: n
 # ---- adapters ---------------------------------------------------------------------------------
 
 
-def gap_match(ins: np.ndarray, normal: np.ndarray, size: int, limit: int) -> np.ndarray:
-    """Whether rows of ins match rows of normal over `size` bases with one base more within ins: the number of differences, or -1."""
-    x = (ins[:, :size] != normal[:, :size]).astype(np.int64)
-    y = (ins[:, 1 : size + 1] != normal[:, :size]).astype(np.int64)
-    diff = (np.cumsum(x, axis=1) - np.cumsum(y, axis=1) + y.sum(axis=1)[:, None])[:, : size - 1]
-    fine = diff <= limit
-    return np.where(fine.any(axis=1), diff[np.arange(len(x)), fine.argmax(axis=1)], -1)
-
-
 def gap_near(ins: np.ndarray, normal: np.ndarray, size: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Whether rows of ins, over a size of their own, match rows of normal with one base more, wherever it is; no beginning may be over the limit before it."""
     width = min(ins.shape[1] - 1, normal.shape[1])
@@ -287,45 +284,50 @@ def find_adapter(m: Mates, adapter: bytes, least: int) -> tuple[np.ndarray, np.n
     n, size = len(m.size), m.size
     found, where, gone = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
     a, k = np.frombuffer(adapter, np.uint8), len(adapter)
-    if k < least:
+    if k < least or not m.seq.shape[1]:
         return found, where, gone
     can = size > least
-    rows = np.flatnonzero(can)
+    columns = np.ascontiguousarray(m.seq.T)
     start = -4 if k >= 16 else -3 if k >= 12 else -2 if k >= 8 else 0
     for pos in range(start, int(size.max(initial=0)) - least):
-        own = rows[pos < size[rows] - least]
-        if not len(own):
+        live = can & ~found & (pos < size - least)
+        if not live.any():
             break
         skip, begin = max(-pos, 0), max(pos, 0)
-        span = np.minimum(size[own] - pos, k)
-        w = int(span.max()) - skip
-        part = m.seq[own, begin : begin + w]
+        span = np.minimum(size - pos, k)
+        wrong = np.zeros(n, np.uint8)
+        for i in range(min(PREFIX, int(span[live].min()) - skip)):
+            wrong += columns[begin + i] != a[skip + i]
+        own = np.flatnonzero(live & (wrong <= span // 8))
+        if not len(own):
+            continue
+        span = span[own]
+        part = m.seq[own, begin : begin + int(span.max()) - skip]
         w = part.shape[1]
-        wrong = ((part != a[None, skip : skip + w]) & (np.arange(w)[None, :] < (span - skip)[:, None])).sum(axis=1)
-        hit = wrong <= span // 8
-        if hit.any():
-            at = own[hit]
-            found[at], where[at] = True, begin
-            gone[at] = k + pos if pos < 0 else size[at] - begin
-            rows = rows[~found[rows]]
+        hit = ((part != a[None, skip : skip + w]) & (np.arange(w)[None, :] < (span - skip)[:, None])).sum(axis=1) <= span // 8
+        at = own[hit]
+        found[at], where[at] = True, begin
+        gone[at] = k + pos if pos < 0 else size[at] - begin
     for insertion in (True, False):
-        for span in range(k if insertion else k - 1, 7, -1):
-            rows = np.flatnonzero(can & ~found)
-            if insertion:
-                pos = np.zeros(len(rows), np.int64) if span == k else size[rows] - 1 - span
-                ok = (size[rows] - 1 >= span) & (size[rows] > span)
-            else:
-                pos = np.zeros(len(rows), np.int64) if span == k - 1 else size[rows] - span
-                ok = size[rows] >= span
-            ok &= (pos >= 0) & (pos < size[rows] - least - insertion)
-            own, pos = rows[ok], pos[ok]
-            if not len(own):
-                continue
-            limit = span // 8 - 1
-            normal = np.broadcast_to(a, (len(own), k))
-            hit = (gap_match(m.seq[own], normal, span, limit) if insertion else gap_match(normal, m.seq[own], span, limit)) >= 0
-            found[own[hit]], where[own[hit]] = True, pos[hit]
-            gone[own[hit]] = size[own[hit]] - pos[hit]
+        rows = np.flatnonzero(can & ~found)
+        longest = k if insertion else k - 1
+        if longest < 8 or not len(rows):
+            continue
+        seq = m.seq[rows, : k + 1]
+        seq = np.pad(seq, ((0, 0), (0, k + 1 - seq.shape[1])))
+        x = seq[:, :longest] != a[None, :longest]
+        y = (seq[:, 1 : longest + 1] != a[None, :longest]) if insertion else (seq[:, :longest] != a[None, 1 : longest + 1])
+        before, shifted = (np.cumsum(v, axis=1, dtype=np.int16) for v in (x, y))
+        lowest = np.minimum.accumulate(before - shifted, axis=1)  # by the number of bases before the gap, from 1
+        spans = np.arange(longest, 7, -1)
+        fits = lowest[:, spans - 2] + shifted[:, spans - 1] <= (spans // 8 - 1)[None, :]
+        free = size[rows][:, None] - insertion  # a whole span stands at the start; a shorter one at the read's end
+        pos = np.where(spans[None, :] == longest, 0, free - spans[None, :])
+        fits &= (spans[None, :] <= free) & (pos < free - least)
+        hit = fits.any(axis=1)
+        own, first = rows[hit], fits[hit].argmax(axis=1)
+        found[own], where[own] = True, pos[hit, first]
+        gone[own] = size[own] - where[own]
     return found, where, gone
 
 
@@ -333,7 +335,7 @@ def gap_overlap(m1: Mates, m2: Mates, rows: np.ndarray, least: int, most: int, p
     """(found, offset, length) of the first overlap with one base more in either mate, for the given rows."""
     n = len(m1.size)
     found, offset, length = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    back = COMPLEMENT[m2.reversed()[0]]
+    back = COMPLEMENT[m2.backwards(m2.seq)]
     rows = np.flatnonzero(rows)
     for sign in (1, -1):
         for k in range(max(m1.seq.shape[1], back.shape[1])):

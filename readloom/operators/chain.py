@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,11 @@ def filter_reason(m: Mates, o: Options) -> np.ndarray:
     return out
 
 
+def where(rows: np.ndarray, values: pa.Array) -> pa.Array:
+    """values in the given rows, else null."""
+    return pc.if_else(pa.array(rows), values, pa.scalar(None, values.type))
+
+
 def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
     """A batch of IN columns to a batch of OUT columns."""
     col = {c: batch.column(i) for i, c in enumerate(IN)}
@@ -74,7 +80,7 @@ def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
     m2 = both[-1]
     zero = np.zeros(n, np.int64)
     out: dict = {"adapter_bases": zero.copy(), "insert_size": None}
-    whole = [m.copy() for m in both]
+    whole = [m.view() for m in both]
     cuts = {k: o.cut(k) for k in ("front", "right") if getattr(o, f"cut_{k}")}
     if o.cut_tail and not o.cut_right and not o.disable_trim_tail:
         cuts["tail"] = o.cut("tail")
@@ -114,20 +120,20 @@ def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
         for i, m in enumerate(both):
             own = (o.adapter_sequence, second)[i]
             for adapter, k, free in [(own, 4, ~by_overlap)] * bool(own) + [(x, least, np.ones(n, bool)) for x in o.adapter_fasta]:
-                hit, where, gone = mates.find_adapter(m, adapter.encode(), k)
+                hit, place, gone = mates.find_adapter(m, adapter.encode(), k)
                 hit &= free
                 out["adapter_bases"] += np.where(hit, gone, 0)
-                m.resize(where, hit)
+                m.resize(place, hit)
                 trimmed[i] |= hit
     out["adapter_reads"] = trimmed.sum(axis=0)
     dimer = trimmed.any(axis=0) & np.all([m.size <= o.dimer_max_len for m in both], axis=0)
     if o.overlapped_out and paired:
         f, off, ln, d = mates.overlap(m1, m2, o.overlap_len_require, o.overlap_diff_limit, 0)
         f &= d == 0
-        rest = m1.copy()
+        rest = m1.view()
         rest.drop_front(np.where(f, np.maximum(off, 0) + ln, 0))
         for c, x in (("seq", rest.seq), ("qual", rest.qual)):
-            out[f"overlapped_{c}"] = pa.array(mates.strings(x, rest.size).to_pylist(), pa.string(), mask=~f)
+            out[f"overlapped_{c}"] = where(f, mates.strings(x, rest.size))
     reasons = []
     for i, m in enumerate(both):
         base, k = mates.poly_x(m, o.poly_x_min_len) if o.trim_poly_x else (np.full(n, -1), zero)
@@ -146,18 +152,19 @@ def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
         why = filter_reason(one, o)
         reasons = [np.where(f, why, r) for r in reasons]
         len1, len2 = ln + np.maximum(off, 0), np.where(off > 0, m2.size - ln, 0)
-        suffix = [f" merged_{a}_{b}" for a, b in zip(len1.tolist(), len2.tolist(), strict=True)]
-        out["merged_name"] = pa.array([x + s if y else None for x, s, y in zip(col["name1"].to_pylist(), suffix, f.tolist(), strict=True)], pa.string())
-        out["merged_plus"] = pa.array([(x if x == "+" else x + s) if y else None for x, s, y in zip(col["plus1"].to_pylist(), suffix, f.tolist(), strict=True)], pa.string())
+        suffix = pc.binary_join_element_wise(" merged", *(pa.array(x).cast(pa.string()) for x in (len1, len2)), "_")
+        f = f.astype(bool)
+        out["merged_name"] = where(f, pc.binary_join_element_wise(col["name1"], suffix, ""))
+        out["merged_plus"] = where(f, pc.if_else(pc.equal(col["plus1"], "+"), col["plus1"], pc.binary_join_element_wise(col["plus1"], suffix, "")))
         for c, x in (("seq", one.seq), ("qual", one.qual)):
-            out[f"merged_{c}"] = pa.array(mates.strings(x, one.size).to_pylist(), pa.string(), mask=~f.astype(bool))
+            out[f"merged_{c}"] = where(f, mates.strings(x, one.size))
     out |= {"ov_found": found, "ov_offset": pa.array(offset, pa.int32(), mask=~found), "ov_len": pa.array(length, pa.int32(), mask=~found), "ov_diff": pa.array(diff, pa.int32(), mask=~found)}
     for i, m in enumerate(both, 1):
         out[f"seq{i}"], out[f"qual{i}"], out[f"fail{i}"] = mates.strings(m.seq, m.size), mates.strings(m.qual, m.size), reasons[i - 1]
         gone = (m.size == 0) & (whole[i - 1].size > 0)
         for c, x in (("seq", whole[i - 1].seq), ("qual", whole[i - 1].qual)):
             if gone.any():
-                out[f"whole_{c}{i}"] = pa.array(mates.strings(x, whole[i - 1].size).to_pylist(), pa.string(), mask=~gone)
+                out[f"whole_{c}{i}"] = where(gone, mates.strings(x, whole[i - 1].size))
     for c in ("ordinal", "name1", "plus1", "name2", "plus2", "skipped"):
         out[c] = col[c]
     arrays = []
