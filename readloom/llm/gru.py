@@ -111,6 +111,42 @@ class Adam:
             x += a * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
 
 
+def window(p: dict[str, np.ndarray], h: np.ndarray, xs: np.ndarray, ys: np.ndarray, ok: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Of a window (steps by lanes) the log-likelihood of ys where ok, its gradients through all of the window's steps, and the state after it. Input 0 starts a text from a zero state."""
+    lanes, k = h.shape
+    kept, states = [], np.empty((len(xs), lanes, k), h.dtype)
+    for t in range(len(xs)):
+        h = h * (xs[t] != 0)[:, None]
+        states[t], z, r, m, un = step(p, xs[t], h)
+        kept.append((h, z, r, m, un))
+        h = states[t]
+    flat = ok.reshape(-1)
+    found, g, dh = output(p, states.reshape(-1, k)[flat], ys.reshape(-1)[flat], back=True)
+    dhs = np.zeros((len(xs) * lanes, k), h.dtype)
+    dhs[flat] = dh
+    dhs = dhs.reshape(len(xs), lanes, k)
+    dx = np.empty((len(xs), lanes, 3 * k), h.dtype)
+    g["u"], carry = np.zeros_like(p["u"]), np.zeros((lanes, k), h.dtype)
+    for t in range(len(xs) - 1, -1, -1):
+        hp, z, r, m, un = kept[t]
+        d = dhs[t] + carry
+        dn = d * (1 - z) * (1 - m * m)
+        a = dx[t]
+        a[:, :k] = d * (hp - m) * z * (1 - z)
+        a[:, k : 2 * k] = dn * un * r * (1 - r)
+        a[:, 2 * k :] = dn
+        du = a.copy()
+        du[:, 2 * k :] *= r
+        g["u"] += hp.T @ du
+        carry = (d * z + du @ p["u"].T) * (xs[t] != 0)[:, None]
+    dx, at = dx.reshape(-1, 3 * k), xs.reshape(-1)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    g["x"] = np.zeros_like(p["x"])
+    g["x"][at[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+    return float(found.sum()), g, h
+
+
 def train(p: dict[str, np.ndarray], ids: np.ndarray, rate: float, lanes: int = LANES) -> int:
     """One pass over ids (texts one after another, each closed by 0), in lanes side by side; the parameters change in place. The windows seen."""
     n = len(ids)
@@ -125,39 +161,9 @@ def train(p: dict[str, np.ndarray], ids: np.ndarray, rate: float, lanes: int = L
     x = np.zeros_like(y)
     x[1:] = y[:-1]
     h, adam, windows = np.zeros((lanes, p["u"].shape[0]), np.float32), Adam(p, rate), 0
-    k = h.shape[1]
     for low in range(0, length, WINDOW):
-        xs, ys, ok = x[low : low + WINDOW], y[low : low + WINDOW], real[low : low + WINDOW]
-        kept = []
-        states = np.empty((len(xs), lanes, k), np.float32)
-        for t in range(len(xs)):
-            h = h * (xs[t] != 0)[:, None]
-            states[t], z, r, m, un = step(p, xs[t], h)
-            kept.append((h, z, r, m, un))
-            h = states[t]
-        _, g, dh = output(p, states.reshape(-1, k)[ok.reshape(-1)], ys.reshape(-1)[ok.reshape(-1)], back=True)
-        dhs = np.zeros((len(xs) * lanes, k), np.float32)
-        dhs[ok.reshape(-1)] = dh
-        dhs = dhs.reshape(len(xs), lanes, k)
-        dx = np.empty((len(xs), lanes, 3 * k), np.float32)
-        g["u"], carry = np.zeros_like(p["u"]), np.zeros((lanes, k), np.float32)
-        for t in range(len(xs) - 1, -1, -1):
-            hp, z, r, m, un = kept[t]
-            d = dhs[t] + carry
-            dn = d * (1 - z) * (1 - m * m)
-            a = dx[t]
-            a[:, :k] = d * (hp - m) * z * (1 - z)
-            a[:, k : 2 * k] = dn * un * r * (1 - r)
-            a[:, 2 * k :] = dn
-            du = a.copy()
-            du[:, 2 * k :] *= r
-            g["u"] += hp.T @ du
-            carry = (d * z + du @ p["u"].T) * (xs[t] != 0)[:, None]
-        flat, at = dx.reshape(-1, 3 * k), xs.reshape(-1)
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        g["x"] = np.zeros_like(p["x"])
-        g["x"][at[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+        ok = real[low : low + WINDOW]
+        _, g, h = window(p, h, x[low : low + WINDOW], y[low : low + WINDOW], ok)
         total = max(1, int(ok.sum()))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / total
         scale = 1 / total if norm <= 1 else 1 / (total * norm)

@@ -654,6 +654,58 @@ def test_frequent_words_are_kept_when_their_bin_is_too_large(spark, monkeypatch)
     assert lm._head(spark.createDataFrame([], "word binary, c long")).num_rows == 0
 
 
+def plain_likelihood(p, text):
+    """The log-likelihood of one text (ids closed by 0), a token and a state number at a time."""
+    k, total, x, h = p["u"].shape[0], 0.0, 0, np.zeros(p["u"].shape[0])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for y in text:
+        a, u = p["x"][x].astype(float), h @ p["u"]
+        z, r = sigmoid(a[:k] + u[:k]), sigmoid(a[k : 2 * k] + u[k : 2 * k])
+        m = np.tanh(a[2 * k :] + r * u[2 * k :])
+        h = (1 - z) * m + z * h
+        c, w = divmod(int(y), p["bw"].shape[1])
+        lc, lw = h @ p["wc"] + p["bc"], h @ p["ww"][c] + p["bw"][c]
+        total += lc[c] - np.log(np.exp(lc).sum()) + lw[w] - np.log(np.exp(lw).sum())
+        x = int(y)
+    return total
+
+
+def some_model(rng, classes=3, size=4, hidden=5):
+    p = gru.initial(rng.integers(1, 50, classes * size).astype(float), size, hidden)
+    return {k: (v + rng.standard_normal(v.shape) * 0.4).astype(np.float64) for k, v in p.items()}
+
+
+def test_scores_are_those_of_a_plain_loop():
+    """Texts of any length: the state is carried from window to window, whatever stands beside them."""
+    rng = np.random.default_rng(1)
+    p = some_model(rng)
+    texts = [np.append(rng.integers(1, 12, n), 0) for n in (0, 1, 15, 16, 17, 100, 3, 64)]
+    assert np.allclose(gru.score(p, texts, lanes=3), [plain_likelihood(p, t) for t in texts], rtol=1e-5, atol=1e-5)
+
+
+def test_gradients_through_time_are_those_of_differences():
+    rng = np.random.default_rng(2)
+    p = some_model(rng)
+    lanes = [np.concatenate([np.append(rng.integers(1, 12, n), 0) for n in sizes]) for sizes in ((4, 2), (7,), (3, 3))]
+    length = max(map(len, lanes))
+    y = np.stack([np.pad(x, (0, length - len(x))) for x in lanes], axis=1)
+    ok = np.stack([np.arange(length) < len(x) for x in lanes], axis=1)
+    x = np.concatenate([np.zeros((1, 3), np.int64), y[:-1]])
+    split = lambda lane: np.split(lane, np.flatnonzero(lane == 0) + 1)
+    whole = lambda: sum(plain_likelihood(p, t) for lane in lanes for t in split(lane) if len(t))
+    value, g, _ = gru.window(p, np.zeros((3, 5)), x, y, ok)
+    assert abs(value - whole()) < 1e-8
+    for key, v in p.items():
+        for at in rng.permutation(v.size)[:12]:
+            i = np.unravel_index(at, v.shape)
+            old, e = v[i], 1e-5
+            v[i] = old + e
+            up = whole()
+            v[i] = old - e
+            assert abs((up - whole()) / (2 * e) - g[key][i]) < 1e-5, key
+            v[i] = old
+
+
 def test_recurrent_model():
     rng = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in gru.initial(np.arange(12.0), 4, 5).items()}
