@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +85,39 @@ def quality_histogram(rows: DataFrame) -> DataFrame:
     return counts(rows).where("kind = 'qual'").select("stage", "mate", F.col("code").alias("q"), "n")
 
 
+TOTALS = ("reads", "bases", "q20_bases", "q30_bases", "q40_bases", "gc_bases", "max_len")
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """How often each byte stands in a string column; nulls are empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.bincount(np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(ends) else np.zeros(0, np.uint8), minlength=256)
+
+
+def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stage, mate, seq, qual) to one row of TOTALS for each stage and mate of a task."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for batch in batches:
+        group = pc.binary_join_element_wise(batch.column(0), batch.column(1).cast(pa.string()), "\t")
+        for name in group.unique().to_pylist():
+            seq, qual = (batch.column(i).filter(pc.equal(group, name)) for i in (2, 3))
+            bases, levels = _bytes(seq), _bytes(qual)
+            stage, mate = name.split("\t")
+            own = found.setdefault((stage, int(mate)), [0] * len(TOTALS))
+            new = [len(seq), int(bases.sum()), *(int(levels[33 + q :].sum()) for q in (20, 30, 40)), int(sum(bases[ord(b)] for b in "GCgc"))]
+            own[:6] = (x + y for x, y in zip(own, new, strict=False))
+            own[6] = max(own[6], pc.max(pc.binary_length(seq)).as_py() or 0)
+    cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [()] * 9
+    types = (pa.string(), pa.int32(), *[pa.int64()] * 6, pa.int32())
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["stage", "mate", *TOTALS])
+
+
 def totals(rows: DataFrame) -> DataFrame:
-    """Reads, bases, bases of Q20, Q30, Q40 and more, GC bases, longest read; per stage and mate. Expressions only."""
-    above = lambda q: F.sum(F.length(F.translate("qual", "".join(map(chr, range(33, 33 + q))), "")))
-    gc = F.sum(F.length("seq") - F.length(F.translate("seq", "GCgc", "")))
-    return rows.groupBy("stage", "mate").agg(
-        F.count("*").alias("reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bases"), above(20).alias("q20_bases"), above(30).alias("q30_bases"),
-        above(40).alias("q40_bases"), gc.alias("gc_bases"), F.max(F.length("seq")).alias("max_len"),
-    )
+    """Reads, bases, bases of Q20, Q30, Q40 and more, GC bases, longest read; per stage and mate. Bytes are counted within a task, its sums are shuffled."""
+    ship(rows.sparkSession)
+    part = rows.select("stage", "mate", "seq", "qual").mapInArrow(_totals, "stage string, mate int, " + ", ".join(f"{c} {'int' if c == 'max_len' else 'long'}" for c in TOTALS))
+    return part.groupBy("stage", "mate").agg(*(F.sum(c).alias(c) for c in TOTALS[:-1]), F.max("max_len").alias("max_len"))
 
 
 def rate(x: str, of: str) -> Column:

@@ -84,9 +84,9 @@ def summary(mates: list[Profile], paired: bool) -> dict:
 def profiles(rows: DataFrame, kmers: bool) -> dict[tuple[str, int], Profile]:
     """By stage and mate; three aggregations over all rows at once."""
     out: dict[tuple[str, int], Profile] = defaultdict(Profile)
-    for r in rows.groupBy("stage", "mate").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.max(F.length("seq")).alias("longest")).collect():
+    for r in profile.totals(rows).collect():
         own = out[r["stage"], r["mate"]]
-        own.reads, own.bases, own.longest = r["n"], r["bases"] or 0, r["longest"] or 0
+        own.reads, own.bases, own.longest = r["reads"], r["bases"], r["max_len"]
     for r in profile.counts(rows).collect():
         own = out[r["stage"], r["mate"]]
         if r["kind"] == "qual":
