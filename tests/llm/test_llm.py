@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from readloom.llm import chat, decontaminate, gru, licenses, lm, media, mixing, neardup, queries, secrets, simhash, tokens, toxicity
@@ -196,7 +198,7 @@ def test_near_duplicates_of_five_word_shingles(spark):
 
 
 def shingled(texts):
-    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in texts)]
 
 
 def alike(a, b):
@@ -726,3 +728,52 @@ def test_recurrent_model():
     after = gru.score(q, text)
     assert after[0] > before[0] / 4
     assert np.allclose(gru.score(q, text[::-1])[::-1], after, atol=1e-4) and np.allclose(gru.score(q, text, lanes=1), after, atol=1e-4)
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Every stage on all that the one before kept, with planted copies and benchmark passages, and a second table of columns beside."""
+    r = random.Random(12)
+    docs = [tuple(x) for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    bench = [tuple(x) for x in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    for i in range(20):
+        words = docs[i * 7][1].split(" ")
+        words[r.randrange(len(words))] = "edited"
+        docs.append((5000 + i, " ".join(words), "en", "s0", None))
+        docs.append((6000 + i, f"before {bench[i % len(bench)][1]} after it", "en", None, None))
+    labels = [(x[0], 0) for x in docs[:120]] + [(7000 + i, 1) for i in range(40)]
+    docs += [(7000 + i, " ".join([*docs[i][1].split()[:5], "zzyrkous", *(f"w{r.randrange(999)}" for _ in range(20))]), "en", "src1", None) for i in range(60)]
+    docs += [docs[3], (None, "a text without an id", None, None, None)]
+    d = str(tmp_path / "in")
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    now, want = spark.read.parquet(f"{d}/documents.parquet"), sorted(docs, key=key)
+    for name, stage in corpus_pipeline.STAGES:
+        before = spark.createDataFrame(want, DOCS)
+        if name == "toxicity":
+            told = toxicity.score_toxicity(before, spark.read.parquet(f"{d}/labels.parquet")).where("predicted = 1").select("doc_id").collect()
+            want = [x for x in want if x[0] not in {y[0] for y in told}]
+            assert len(docs) - 62 < len(want) < len(docs) - 50
+        elif name == "near_duplicates":
+            sets = shingled([x[1] or "" for x in want])
+            root = plain_components(range(len(want)), [(a, b) for a in range(len(want)) for b in range(a) if alike(sets[a], sets[b])])
+            want = [x for i, x in enumerate(want) if root[i] == i]  # sorted, so the root is the least document
+        elif name == "decontamination":
+            bad = {x[0] for x in plain_matches([x[:2] for x in want], bench)}
+            assert len(bad) >= 15
+            want = [x for x in want if x[0] not in bad]
+        elif name == "mixture":
+            times = {x["doc_id"]: x["times"] for x in mix_of(before)}
+            want = [x for x in want for _ in range(times[x[0]])]
+        now = corpus_pipeline.written(stage(spark, now, d), f"test-{name}")
+        if name != "token_ids":
+            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert sorted(map(tuple, now.collect()), key=key) == sorted(want, key=key), name
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start, rows = 0, []
+    for x in sorted(want, key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = [*library.encode(x[1] or "", add_special_tokens=False).ids, 0]
+        rows.append((x[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, now.select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda x: x[1]) == rows
