@@ -12,7 +12,7 @@ from readloom.functions import mates
 from readloom.functions.mates import Mates
 from readloom.operators import chain as ch
 from readloom.operators import dedup, overrep, profile, sinks
-from readloom.options import Options
+from readloom.options import KNOWN_ADAPTERS, Options
 from readloom.plans.queries import ORACLE_SQL, QUERIES
 from readloom.sources import fastq
 from readloom.sources.recipe import reads
@@ -252,3 +252,95 @@ def test_overrepresented_of_no_reads(spark):
     assert overrep.overrepresented(none).collect() == []
     odd = spark.createDataFrame([(0, None), (0, ""), (1, "A" * 9), (20, "ACGT" * 30)], "ordinal long, seq1 string")
     assert overrep.overrepresented(odd).count() == 0
+
+
+def plain_cut_tail(s, q, w=4, mean=20):
+    poor = lambda t: sum(ord(x) for x in q[t - w + 1 : t + 1]) < w * (mean + 33)
+    if len(s) <= w:
+        return "", ""
+    t = len(s) - 1
+    while t >= w and poor(t):
+        t -= 1
+    if t < len(s) - 1:
+        t = t + 1 - w
+    while t >= 0 and s[t] == "N":
+        t -= 1
+    end = t + 1
+    return (s[:end], q[:end]) if end > 0 and len(s) > 1 else ("", "")
+
+
+def plain_poly_x(s, least=10):
+    """Bases that the tail of one base loses."""
+    counts, pos = dict.fromkeys("ATCG", 0), len(s)
+    for i, b in enumerate(reversed(s)):
+        for x in counts:
+            counts[x] += b in (x, "N")
+        if all(i + 1 - n > min(5, (i + 1) // 8) for n in counts.values()) and (i >= 8 or i + 2 >= least):
+            pos = i
+            break
+    if pos + 1 < least or not s:
+        return 0
+    base, n = max("ATCG", key=lambda x: counts[x]), min(pos + 1, len(s))
+    while n and s[len(s) - n] != base:
+        n -= 1
+    return n
+
+
+def plain_reason(s, q):
+    if not s:
+        return ch.SHORT
+    if sum(ord(x) < 33 + 15 for x in q) > 40 * len(s) / 100:
+        return ch.QUALITY
+    return ch.MANY_N if s.count("N") > 5 else ch.SHORT if len(s) < 15 else 0
+
+
+def plain_chain(r, adapters):
+    """Cut, poly-G, overlap, correction, adapters, dimers, poly-X, filters, in this order, of one pair."""
+    s, q, events = [r["seq1"], r["seq2"]], [r["qual1"], r["qual2"]], [0, 0, 0]
+    for i in (0, 1):
+        s[i], q[i] = plain_cut_tail(s[i], q[i])
+        s[i] = plain_poly_g(s[i], 10)
+        q[i] = q[i][: len(s[i])]
+    found = plain_overlap(*s)
+    pair = dict(zip("ACGT", "TGCA", strict=True))
+    if found and found[2]:
+        o, n, _ = found
+        x, y = ([list(z) for z in (s[i], q[i])] for i in (0, 1))
+        for k in range(n):
+            a, b = k + max(o, 0), len(s[1]) - 1 - k - max(-o, 0)
+            if x[0][a] != pair.get(y[0][b], y[0][b]):
+                good, bad = 63, 47
+                if ord(x[1][a]) >= good and ord(y[1][b]) <= bad:
+                    y[0][b], y[1][b] = pair.get(x[0][a], x[0][a]), x[1][a]
+                    events[2] += 1
+                elif ord(y[1][b]) >= good and ord(x[1][a]) <= bad:
+                    x[0][a], x[1][a] = pair.get(y[0][b], y[0][b]), y[1][b]
+                    events[2] += 1
+        s, q = ["".join(x[0]), "".join(y[0])], ["".join(x[1]), "".join(y[1])]
+    for i in (0, 1):
+        keep = len(s[i])
+        if found and found[0] < 0:
+            keep = min(keep, found[1])
+            events[0] += len(s[i]) - keep
+            events[1] += 1
+        elif hit := plain_adapter(s[i], adapters[i], 4):
+            keep = hit[0]
+            events[0] += hit[1]
+            events[1] += 1
+        s[i], q[i] = s[i][:keep], q[i][:keep]
+    dimer = events[1] and all(len(x) <= 2 for x in s)
+    why = []
+    for i in (0, 1):
+        keep = len(s[i]) - plain_poly_x(s[i])
+        s[i], q[i] = s[i][:keep], q[i][:keep]
+        why.append(ch.DIMER if dimer else plain_reason(s[i], q[i]))
+    return (*s, *q, *why, *events)
+
+
+def test_full_chain_equals_plain_steps(spark):
+    o = Options(correction=True, cut_tail=True, trim_poly_g=True, trim_poly_x=True, adapter_sequence=KNOWN_ADAPTERS[0], adapter_sequence_r2=KNOWN_ADAPTERS[1])
+    table = reads(spark, SF).where("ordinal < 700").cache()
+    got = ch.chain(table, o).select("ordinal", "seq1", "seq2", "qual1", "qual2", "fail1", "fail2", "adapter_bases", "adapter_reads", "corrected_bases").collect()
+    want = {r["ordinal"]: plain_chain(r, KNOWN_ADAPTERS) for r in table.collect()}
+    assert {r["ordinal"]: tuple(r)[1:] for r in got} == want
+    assert len({w[4:6] for w in want.values()}) > 2 and sum(w[8] for w in want.values())
