@@ -29,10 +29,10 @@ def key() -> Column:
 
 
 def mark_exact(reads: DataFrame) -> DataFrame:
-    """reads with `duplicate`. The least ordinal of each key is found by an aggregation with map-side minima, so a key of any number of records is no hot task."""
+    """reads with `duplicate`. The least ordinal of each key is found by an aggregation with map-side minima; records are told by ordinal and key, so a key of any number of records is no hot task."""
     keyed = reads.withColumn("_k", F.sha2(key(), 256))
-    first = keyed.groupBy("_k").agg(F.min("ordinal").alias("_first"))
-    return keyed.join(first, "_k").withColumn("duplicate", F.col("ordinal") > F.col("_first")).drop("_k", "_first")
+    first = keyed.groupBy("_k").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
+    return keyed.join(first, ["ordinal", "_k"], "left").withColumn("duplicate", F.col("_first").isNull()).select(*reads.columns, "duplicate")
 
 
 def primes(n: int) -> np.ndarray:
