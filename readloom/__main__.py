@@ -72,6 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, OSError) as e:
         print(f"readloom: {e}", file=sys.stderr)
         return 1
+    if o.verbose:
+        print("\n".join(f"{route}: {', '.join(files)}" for route, files in done.files.items()), file=sys.stderr)
     print(f"{done.records} {'pairs' if o.paired else 'reads'} read, {done.passed} reads passed", file=sys.stderr)
     return 0
 

@@ -78,11 +78,16 @@ def split_name(number: int, name: str, digits: int = 4) -> str:
     return f"{folder}{slash}{str(number).zfill(digits)}.{base}"
 
 
-def write_fastq(rows: DataFrame, path: str, compression: str = "gzip") -> None:
+#: Hadoop's names of the levels 1 to 9.
+GZIP_LEVELS = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
+def write_fastq(rows: DataFrame, path: str, compression: str = "gzip", level: int = 4) -> None:
     """(ordinal, record) as text files, in ordinal order from file to file."""
     parts = max(1, rows.rdd.getNumPartitions())
     by = ["ordinal", *(["mate"] if "mate" in rows.columns else [])]
-    rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("record").write.mode("errorifexists").option("compression", compression).text(path)
+    levels = {"zlib.compress.level": GZIP_LEVELS[level - 1], "io.compression.codec.zstd.level": level}
+    rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("record").write.mode("errorifexists").options(compression=compression, **levels).text(path)
 
 
 def codec(path: str) -> str:
@@ -95,7 +100,7 @@ def write_file(rows: DataFrame, path: str, level: int = 4) -> None:
     are a file when one follows the other, so the parts are joined as they are, by blocks."""
     spark = rows.sparkSession
     folder = f"{path}.parts-{uuid.uuid4().hex[:8]}"
-    write_fastq(rows, folder, codec(path))
+    write_fastq(rows, folder, codec(path), level)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(conf)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.options import KNOWN_ADAPTERS
+
 READS_SQL = """
 with k as (
   select o_orderkey as ordinal, case when o_orderkey % 10 = 9 then o_orderkey - 1 else o_orderkey end as key from orders),
@@ -19,8 +21,8 @@ b as (
 i as (select ordinal, key, qpool, substr(pool, 1, ilen) as ins from b),
 r as (
   select ordinal, key, concat('@SIM:', cast(ordinal as string)) as stem,
-    substr(concat(ins, repeat('AGATCGGAAGAGCACACGTCTGAACTCCAGTCA', 5)), 1, 150) as s1,
-    substr(concat(reverse(translate(ins, 'ACGT', 'TGCA')), repeat('AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT', 5)), 1, 150) as s2,
+    substr(concat(ins, repeat('{ADAPTER1}', 5)), 1, 150) as s1,
+    substr(concat(reverse(translate(ins, 'ACGT', 'TGCA')), repeat('{ADAPTER2}', 5)), 1, 150) as s2,
     substr(qpool, 1, 150) as q
   from i)
 select ordinal,
@@ -34,7 +36,7 @@ select ordinal,
   '+' as plus2,
   case when ordinal % 11 = 0 then repeat('!', 150) when key % 3 = 0 then concat(repeat('I', 10), '#', substr(q, 12)) else q end as qual2
 from r
-"""
+""".replace("{ADAPTER1}", KNOWN_ADAPTERS[0]).replace("{ADAPTER2}", KNOWN_ADAPTERS[1])
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
