@@ -173,19 +173,21 @@ def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> tuple[D
     ship(docs.sparkSession)
     nodes = text_nodes(docs, k)
     keyed = nodes.select("uid", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("least")).where("n > 1")
-    members = written(keyed.join(met, "key"), "members")
+    met = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("least")).where("n > 1"), "met")
+    members = written(keyed.join(met, "key"), "members")  # two plain sides: a key of very many texts is split
+    drop_written(met)
     clusters = components(members.select(F.col("uid").alias("a"), F.col("least").alias("b")))
     placed = clusters.select(F.col("node").alias("uid"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("uid"), F.col("root").alias("cluster")).distinct())
     central = members.groupBy("uid").agg(F.sum("n").alias("central"))
     own = written(placed.join(nodes.select("uid", "size", *KEY), "uid").join(central, "uid"), "clustered")
     drop_written(members)
-    weighed = own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
+    weighed = written(own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.count("*").alias("n")), "weighed")
     chunks = F.greatest(F.ceil(F.col("weight") / WEIGHT), F.ceil(F.col("n") / MEMBERS)).cast("int")
     need = own.join(weighed.select("cluster", chunks.alias("chunks")), "cluster")
     plain = docs.select(*_identified(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = written(plain.join(need.select(*KEY, "uid", "cluster", "chunks", "central", "size"), KEY).dropDuplicates(KEY).drop(*KEY), "held")
     drop_written(own)
+    drop_written(weighed)
 
     def linked(grid: DataFrame) -> DataFrame:
         dealt = grid.select(*GROUPED).repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "kind", "uid")
