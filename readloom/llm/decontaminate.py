@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.hashing import WordHashes, mixed, runs
+from readloom.llm.hashing import WordHashes, mixed, runs, small
 from readloom.session import ship
 
 SHINGLE = 5
@@ -254,7 +254,7 @@ MATCH = "doc_id long, item_id long, similarity double, first_word long, n_window
 def _finder(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
-        for batch in batches:
+        for batch in small(batches):
             rows = [(d, *x) for d, found in zip(batch.column(0).to_pylist(), index.search(batch.column(1).to_pylist()), strict=True) for x in found]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in MATCH.split(", ")])
@@ -277,7 +277,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _cleaner(shared, at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([not found for found in index.search(batch.column(at).to_pylist())], pa.bool_()))
 
     return run

@@ -5,7 +5,10 @@ Defined results: words are cut at ASCII white space alone; a null text has none;
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 SEED = 42
@@ -14,6 +17,13 @@ CACHED_WORDS = 200_000
 _ORDER = np.random.default_rng(SEED).integers(0, 1 << 63, 16, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

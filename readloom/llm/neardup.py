@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.hashing import SEED, WordHashes, mixed, runs
+from readloom.llm.hashing import SEED, WordHashes, mixed, runs, small
 from readloom.session import drop_written, ship, written
 
 WIDTH = SEGMENTS = 7
@@ -69,7 +69,7 @@ SIGNED = "h1 long, h2 long, no boolean, doc long, size long, keys array<long>"
 def _signed(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = WordHashes(), {}
-        for batch in batches:
+        for batch in small(batches):
             sizes, keys = [], []
             for h1, h2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if (h1, h2) not in last:
@@ -121,7 +121,7 @@ def forest(ids: np.ndarray, roots: np.ndarray, kinds: np.ndarray, sets: list[np.
 def _groups(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
     """Rows, sorted by their first n columns, in groups of equal ones."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in small(batches, 128):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][:n] != row[:n]:
                 yield held

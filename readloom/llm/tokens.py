@@ -34,7 +34,7 @@ from readloom.session import new_folder, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 
 # ---- encoding ---------------------------------------------------------------------------------
 

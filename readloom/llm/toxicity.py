@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.hashing import small
 from readloom.session import drop_written, ship, written
 
 MAX_LABELLED = 6000
@@ -87,7 +88,7 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "y", "n"])
 
-    for batch in batches:
+    for batch in small(batches):
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.update((f, y) for f in {f for w in set(plain(text).split()) for f in sequences(w)})
             if len(counts) > 300_000:
@@ -113,7 +114,7 @@ class Features:
 def _vectors(chosen: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(chosen)
-        for batch in batches:
+        for batch in small(batches):
             own, one, other = [], [], []
             for text in batch.column(0).to_pylist():
                 own.append(features.of(text))
@@ -205,7 +206,7 @@ def _scorer(model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, w, b = model
         features = Features(chosen)
-        for batch in batches:
+        for batch in small(batches):
             score = _scores(batch.column(1).to_pylist(), features, w, b)
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -216,7 +217,7 @@ def _keeper(model, at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, w, b = model
         features = Features(chosen)
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), features, w, b) < THRESHOLD, pa.bool_()))
 
     return run
