@@ -25,7 +25,7 @@ OTHER = 13
 
 def key() -> Column:
     """Equal for records of equal bases, all but A, C, G, T being alike; both mates, one after the other."""
-    return F.regexp_replace(F.concat(F.col("seq1"), F.coalesce(F.col("seq2"), F.lit(""))), "[^ACGT]", "N")
+    return F.regexp_replace(F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in ("seq1", "seq2"))), "[^ACGT]", "N")
 
 
 def mark_exact(reads: DataFrame) -> DataFrame:
@@ -55,25 +55,31 @@ def _bits(level: int):
         for b, c in CODES.items():
             code[ord(b)] = c
         for batch in batches:
-            text = [x + (y or "") for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            text = [(x or "") + (y or "") for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             seq, size = mates.matrix(pa.array(text, pa.string()))
             p = np.arange(seq.shape[1], dtype=np.uint64)
             value = np.where(np.arange(seq.shape[1])[None, :] < size[:, None], code[seq] + p[None, :], np.uint64(0))
             with np.errstate(over="ignore"):
                 cols = [(value * table[((p * np.uint64(n) + np.uint64(i)) & np.uint64(512 * n - 1)).astype(np.int64)][None, :]).sum(axis=1, dtype=np.uint64) & np.uint64((1 << width) - 1) for i in range(n)]
-            yield pa.record_batch([batch.column(0), *(pa.array(c.astype(np.int64)) for c in cols)], names=["ordinal", *(f"b{i}" for i in range(n))])
+            yield pa.record_batch([batch.column(0), *batch.columns[3:], *(pa.array(c.astype(np.int64)) for c in cols)], names=["ordinal", *batch.schema.names[3:], *(f"b{i}" for i in range(n))])
 
     return run
 
 
-def mark_bloom(reads: DataFrame, level: int = 1) -> DataFrame:
+def mark_bloom(reads: DataFrame, level: int = 1, exact: bool = False) -> DataFrame:
     """reads with `duplicate` as a Bloom filter of this level tells it in input order: every bit of the record was set by some earlier one.
 
-    That is, of each filter the least ordinal with the record's bit is less than its own."""
+    That is, of each filter the least ordinal with the record's bit is less than its own. Bits of different records meet, the more of them the more records there are;
+    with `exact`, an earlier record must have the same key as well. Filters miss no duplicate, so the result is then that of `mark_exact`."""
     ship(reads.sparkSession)
     n = LEVELS[level][1]
-    bits = reads.select("ordinal", "seq1", "seq2").mapInArrow(_bits(level), "ordinal long, " + ", ".join(f"b{i} long" for i in range(n)))
-    rows = written(bits, "bits").select("ordinal", F.posexplode(F.array(*(f"b{i}" for i in range(n)))).alias("i", "bit"))
-    first = rows.groupBy("i", "bit").agg(F.min("ordinal").alias("_first"))
-    told = rows.join(first, ["i", "bit"]).groupBy("ordinal").agg(F.min((F.col("_first") < F.col("ordinal")).cast("int")).alias("_all"))
+    digest = {"_k": F.unhex(F.sha2(key(), 256))} if exact else {}
+    names = "ordinal long, " + "_k binary, " * exact + ", ".join(f"b{i} long" for i in range(n))
+    bits = written(reads.select("ordinal", "seq1", "seq2", *(c.alias(k) for k, c in digest.items())).mapInArrow(_bits(level), names), "bits")
+    entry = lambda i, bit, k: F.struct(F.lit(i).alias("i"), bit.alias("bit"), k.alias("k"))
+    none = F.lit(b"")
+    each = [entry(i, F.col(f"b{i}"), none) for i in range(n)] + [entry(n, F.lit(0).cast("long"), F.col(k)) for k in digest]
+    rows = bits.select("ordinal", F.explode(F.array(*each)).alias("e")).select("ordinal", "e.*")
+    first = rows.groupBy("i", "bit", "k").agg(F.min("ordinal").alias("_first"))
+    told = rows.join(first, ["i", "bit", "k"]).groupBy("ordinal").agg(F.min((F.col("_first") < F.col("ordinal")).cast("int")).alias("_all"))
     return reads.join(told, "ordinal").withColumn("duplicate", F.col("_all") == 1).drop("_all")

@@ -175,6 +175,19 @@ def test_bloom_levels_agree_on_small_data(spark):
     assert sorted(dedup.mark_bloom(some, 3).where("duplicate").select("ordinal").collect()) == want and want
 
 
+def test_bloom_query_is_exact_where_bits_meet(spark, monkeypatch):
+    monkeypatch.setitem(dedup.LEVELS, 1, (10, 2))  # 1,500 records fill 1,024 bits
+    want = sorted(map(tuple, dedup.mark_exact(reads(spark, SF)).select("ordinal", "duplicate").collect()))
+    assert sorted(map(tuple, dedup.mark_bloom(reads(spark, SF)).select("ordinal", "duplicate").collect())) != want
+    assert sorted(map(tuple, QUERIES["bloom_dup"](spark, SF).collect())) == want
+
+
+def test_duplicates_of_null_sequences(spark):
+    some = spark.createDataFrame([(0, None, None), (1, "", None), (2, "AC", None), (3, None, "AC"), (4, "GG", None)], "ordinal long, seq1 string, seq2 string")
+    for marked in (dedup.mark_exact(some), dedup.mark_bloom(some), dedup.mark_bloom(some, exact=True)):
+        assert [r["duplicate"] for r in marked.orderBy("ordinal").collect()] == [False, True, False, True, False]
+
+
 def test_fastq_source(spark, tmp_path):
     text = b"\n@a 1\nACGT\n+\nIIII\n  \n@b\r\nAC\r\n+b\r\n!!\r\n@c\n\n+\n"
     (tmp_path / "x.fq").write_bytes(text + b"\n")
