@@ -42,6 +42,19 @@ SCHEMA = ", ".join(f"{n} {t}" for n, t, _ in OUT)
 IN = ("ordinal", "name1", "seq1", "plus1", "qual1", "name2", "seq2", "plus2", "qual2", "skipped")
 
 
+def quality_sum(m: Mates) -> np.ndarray:
+    return np.where(m.inside, m.qual, 0).sum(axis=1, dtype=np.int64) - 33 * m.size
+
+
+def count_below(m: Mates, phred: int) -> np.ndarray:
+    """Bases of a quality below this one; none where it is 0."""
+    return (m.inside & (m.qual < phred + 33)).sum(axis=1) if phred else np.zeros(len(m.size), np.int64)
+
+
+def count_n(m: Mates) -> np.ndarray:
+    return (((m.seq | 32) == ord("n")) & m.inside).sum(axis=1)
+
+
 def filter_reason(m: Mates, o: Options) -> np.ndarray:
     """The first rule that each read breaks."""
     size, inside = m.size, m.inside
@@ -55,12 +68,10 @@ def filter_reason(m: Mates, o: Options) -> np.ndarray:
             out[size > o.length_limit] = LONG
         out[size < o.length_required] = SHORT
     if not o.disable_quality_filtering:
-        out[(((m.seq | 32) == ord("n")) & inside).sum(axis=1) > o.n_base_limit] = MANY_N
-        q = m.qual.astype(np.int64) - 33
+        out[count_n(m) > o.n_base_limit] = MANY_N
         if o.average_qual > 0:
-            out[np.where(inside, q, 0).sum(axis=1) // np.maximum(size, 1) < o.average_qual] = QUALITY
-        bad = (inside & (q < o.qualified_quality_phred)).sum(axis=1) if o.qualified_quality_phred else np.zeros(len(size))
-        out[bad > o.unqualified_percent_limit * size / 100] = QUALITY
+            out[quality_sum(m) // np.maximum(size, 1) < o.average_qual] = QUALITY
+        out[count_below(m, o.qualified_quality_phred) > o.unqualified_percent_limit * size / 100] = QUALITY
     out[size == 0] = SHORT
     return out
 
@@ -183,6 +194,26 @@ def _kernel(o: Options):
     return run
 
 
+def _figures(rules: tuple[Options, ...]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ordinal", "unqualified", "quality_sum", "n_bases", *(f"reason{i}" for i in range(len(rules)))]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                m = Mates.of(part.column(1), part.column(2))
+                sums = pa.array(count_below(m, rules[0].qualified_quality_phred), pa.int32()), pa.array(quality_sum(m), pa.int64()), pa.array(count_n(m), pa.int32())
+                yield pa.record_batch([part.column(0), *sums, *(pa.array(filter_reason(m, o), pa.int32()) for o in rules)], names=names)
+
+    return run
+
+
+def filter_figures(reads: DataFrame, *rules: Options) -> DataFrame:
+    """Of each mate 1: bases below the first rules' quality, sum of qualities, undetermined bases, and `reason0`, `reason1`, ... by each of the given rules."""
+    ship(reads.sparkSession)
+    schema = "ordinal long, unqualified int, quality_sum long, n_bases int" + "".join(f", reason{i} int" for i in range(len(rules)))
+    return reads.select("ordinal", "seq1", "qual1").mapInArrow(_figures(rules), schema)
+
+
 def prepare(reads: DataFrame, o: Options) -> DataFrame:
     """Everything before the kernel, in expressions: read limit, quality offset, blacklist, names, UMI."""
     if "seq2" not in reads.columns:

@@ -175,6 +175,32 @@ def test_bloom_levels_agree_on_small_data(spark):
     assert sorted(dedup.mark_bloom(some, 3).where("duplicate").select("ordinal").collect()) == want and want
 
 
+def test_filter_figures_equal_plain_counts_without_expressions_over_bases(spark):
+    r = random.Random(5)
+    seqs = [*random_reads(300, 5, "ACGTNn"), "", "A", "AA", "ACGT" * 40, None]
+    quals = [s and "".join(chr(33 + r.randint(0, 41)) for _ in s) for s in seqs]
+    table = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(zip(seqs, quals, strict=True))], "ordinal long, seq1 string, qual1 string")
+    o = Options(average_qual=19, low_complexity_filter=True, complexity_threshold=70, length_required=5, length_limit=40)
+
+    def plain(s, q, o):
+        q = [ord(c) - 33 for c in q]
+        if not s or sum(x < 15 for x in q) > 40 * len(s) / 100 or sum(q) // len(s) < 19:
+            return 4 if s else 2
+        if s.lower().count("n") > 5:
+            return 1
+        if len(s) < 5 or len(s) > o.length_limit:
+            return 2 if len(s) < 5 else 3
+        return 5 if sum(a != b for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1) < 0.7 else 0
+
+    other = Options(average_qual=19, low_complexity_filter=True, complexity_threshold=70, length_required=5, length_limit=50)
+    got = {x[0]: tuple(x[1:]) for x in ch.filter_figures(table, o, other).collect()}
+    for i, (s, q) in enumerate(zip(seqs, quals, strict=True)):
+        s, q = s or "", q or ""
+        assert got[i] == (sum(ord(c) < 48 for c in q), sum(ord(c) - 33 for c in q), s.lower().count("n"), plain(s, q, o), plain(s, q, other)), (s, q)
+    plan = QUERIES["filter_each_rule"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan and "lambdafunction(" not in plan
+
+
 def test_bloom_query_is_exact_where_bits_meet(spark, monkeypatch):
     monkeypatch.setitem(dedup.LEVELS, 1, (10, 2))  # 1,500 records fill 1,024 bits
     want = sorted(map(tuple, dedup.mark_exact(reads(spark, SF)).select("ordinal", "duplicate").collect()))
