@@ -14,8 +14,12 @@ for _a, _b in ("AT", "TA", "CG", "GC"):
     COMPLEMENT[ord(_a)] = ord(_b)
 A, C, G, T, N = (ord(x) for x in "ACGTN")
 GOOD, BAD = 30 + 33, 14 + 33
-#: Bases that are compared before whole overlaps and adapters are.
+#: Bases that are compared before whole adapters are.
 PREFIX = 16
+#: Bases of a window of `windows`, two bits each, and the lower bit of each.
+WINDOW, LOWER = 32, np.uint64(0x5555555555555555)
+#: Offsets that are tried by windows before rows are compared whole.
+STRIDE = 16
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +61,9 @@ class Mates:
         """The same bases, with a length of its own; arrays are replaced, not changed, but for `correct`, which copies them."""
         return Mates(self.seq, self.qual, self.size)
 
+    def take(self, rows: np.ndarray) -> "Mates":
+        return Mates(self.seq[rows], self.qual[rows], self.size[rows])
+
     @property
     def inside(self) -> np.ndarray:
         return np.arange(self.seq.shape[1])[None, :] < self.size[:, None]
@@ -179,44 +186,70 @@ def poly_x(m: Mates, least: int) -> tuple[np.ndarray, np.ndarray]:
 # ---- overlap ----------------------------------------------------------------------------------
 
 
+def windows(columns: np.ndarray) -> np.ndarray:
+    """By position: the WINDOW bases from there on as two bits each, the first one lowest. Equal bases have equal bits, and so have some others: windows differ in at most as many places as their bases."""
+    out = np.zeros((len(columns) + 1, columns.shape[1]), np.uint64)
+    code = np.ascontiguousarray((columns >> 1) & 3)
+    for k in range(len(columns) - 1, -1, -1):
+        np.left_shift(out[k + 1], 2, out=out[k])
+        out[k] |= code[k]
+    return out
+
+
 def overlap(m1: Mates, m2: Mates, least: int, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(found, offset, length, differences) of the first accepted overlap of mate 1 and the reverse complement of mate 2.
 
     Offsets 0, 1, ... then 0, -1, ... up to `least` bases before an end, exclusive; accepted if the first 50 bases differ in at most the limit.
-    A row leaves the scan when it has its overlap."""
+    Windows of 32 bases tell which rows may be accepted; those are compared whole. A row leaves the scan when it has its overlap."""
     n = len(m1.size)
     found, offset, length, diff = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     back = COMPLEMENT[m2.backwards(m2.seq)]
-    size1, size2 = m1.size, m2.size
-    columns1, columns2 = np.ascontiguousarray(m1.seq.T), np.ascontiguousarray(back.T)  # by position: comparing one base of all reads is one pass
-    waiting = (size1 > 0) & (size2 > 0)
+    rows = np.flatnonzero((m1.size > 0) & (m2.size > 0))
+    at1, at2 = windows(m1.seq[rows].T), windows(back[rows].T)
+    size1, size2 = m1.size[rows], m2.size[rows]
+
+    def compare(own: np.ndarray, k: np.ndarray, sign: int) -> None:
+        """Compare rows whole at offsets, which ascend; of those that are accepted a row has the first."""
+        start1, start2 = (k, 0 * k) if sign > 0 else (0 * k, k)
+        size = np.minimum(m1.size[own] - start1, m2.size[own] - start2)
+        at = np.arange(int(size.max()))[None, :]
+        a = m1.seq[own[:, None], np.minimum(start1[:, None] + at, m1.seq.shape[1] - 1)]
+        b = back[own[:, None], np.minimum(start2[:, None] + at, back.shape[1] - 1)]
+        differ = (a != b) & (at < size[:, None])
+        near = np.flatnonzero(differ[:, :50].sum(axis=1) <= np.minimum(most, size * percent // 100))
+        hit, first = np.unique(own[near], return_index=True)
+        first = near[first]
+        found[hit], offset[hit], length[hit], diff[hit] = True, sign * k[first], size[first], differ[first].sum(axis=1)
+
     for sign in (1, -1):
-        for k in range(max(len(columns1), len(columns2))):
-            if sign < 0 and k == 0:
-                continue  # offset 0 was tried
-            live = waiting & (k < (size1 if sign > 0 else size2) - least)
-            if k == 0:
-                live |= waiting & (size2 > least)
-            if not live.any():
+        last = max(len(at1), len(at2)) - 1
+        for begin in range(0, last, STRIDE):
+            keep = ~found[rows]
+            if 2 * np.count_nonzero(keep) < len(rows):
+                rows, at1, at2, size1, size2, keep = rows[keep], at1[:, keep], at2[:, keep], size1[keep], size2[keep], keep[keep]
+            bound = np.where(size2 > least, np.maximum(size1 - least, 1), size1 - least) if sign > 0 else size2 - least  # of a row's offsets
+            bound = np.where(keep, bound, 0)
+            if not (begin < bound).any():
                 break
-            size = np.minimum(size1 - k, size2) if sign > 0 else np.minimum(size1, size2 - k)
-            limit = np.minimum(most, size * percent // 100)
-            a, b = (columns1[k:], columns2) if sign > 0 else (columns1, columns2[k:])
-            wrong = np.zeros(n, np.uint8)
-            for i in range(min(PREFIX, int(size[live].min()))):
-                wrong += a[i] != b[i]
-            own = np.flatnonzero(live & (wrong <= limit))
-            if not len(own):
-                continue
-            size = size[own]
-            whole = int(size.max())
-            a, b = (m1.seq[own, k : k + whole], back[own, :whole]) if sign > 0 else (m1.seq[own, :whole], back[own, k : k + whole])
-            wrong = (a != b) & (np.arange(whole)[None, :] < size[:, None])
-            near = wrong[:, :50].sum(axis=1) <= limit[own]
-            if near.any():
-                hit = own[near]
-                found[hit], offset[hit], length[hit], diff[hit] = True, sign * k, size[near], wrong[near].sum(axis=1)
-                waiting[hit] = False
+            low1, low2 = int(size1.min()), int(size2.min())
+            maybe = []
+            for k in range(max(begin, int(sign < 0)), min(begin + STRIDE, last, int(bound.max()))):  # offset 0 is tried once
+                live = k < bound
+                wrong = at1[k] ^ at2[0] if sign > 0 else at1[0] ^ at2[k]
+                wrong |= wrong >> 1
+                if (min(low1 - k, low2) if sign > 0 else min(low1, low2 - k)) < WINDOW:  # some windows reach beyond their overlap
+                    size = np.clip(np.minimum(size1 - k, size2) if sign > 0 else np.minimum(size1, size2 - k), 1, WINDOW)
+                    wrong &= LOWER >> (2 * (WINDOW - size)).astype(np.uint64)
+                else:
+                    wrong &= LOWER
+                live &= np.bitwise_count(wrong) <= most
+                if np.count_nonzero(live):
+                    maybe.append((k, rows[live]))
+            own, k = np.concatenate([rows[:0], *(x for _, x in maybe)]), np.repeat([k for k, _ in maybe], [len(x) for _, x in maybe]).astype(np.int64)
+            while len(own):
+                compare(own[:2048], k[:2048], sign)
+                own, k = own[2048:], k[2048:]
+                own, k = own[~found[own]], k[~found[own]]
     return found, offset, length, diff
 
 
@@ -248,18 +281,21 @@ def correct(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length:
 
 def merged(m1: Mates, m2: Mates, rows: np.ndarray, offset: np.ndarray, length: np.ndarray) -> Mates:
     """Mate 1 up to the overlap's end, then what the reverse complement of mate 2 has beyond it; empty in other rows."""
-    back, qual = COMPLEMENT[m2.backwards(m2.seq)], m2.backwards(m2.qual)
-    len1 = np.where(rows, length + np.maximum(offset, 0), 0)
-    len2 = np.where(rows & (offset > 0), m2.size - length, 0)
-    width = int((len1 + len2).max(initial=0))
-    at = np.arange(width)[None, :]
-    left, right = at < len1[:, None], (at >= len1[:, None]) & (at < (len1 + len2)[:, None])
-    i1 = np.minimum(at + np.zeros_like(len1)[:, None], max(m1.seq.shape[1] - 1, 0))
-    i2 = np.clip(at - len1[:, None] + length[:, None], 0, max(back.shape[1] - 1, 0))
-    pick = lambda x, y: np.where(left, np.take_along_axis(x, i1, 1), np.where(right, np.take_along_axis(y, i2, 1), 0)).astype(np.uint8)
-    if not width:
-        return Mates(np.zeros((len(rows), 0), np.uint8), np.zeros((len(rows), 0), np.uint8), len1)
-    return Mates(pick(m1.seq, back), pick(m1.qual, qual), len1 + len2)
+    own = np.flatnonzero(rows)
+    one, two = m1.take(own), m2.take(own)
+    back, qual = COMPLEMENT[two.backwards(two.seq)], two.backwards(two.qual)
+    len1 = length[own] + np.maximum(offset[own], 0)
+    size = len1 + np.where(offset[own] > 0, two.size - length[own], 0)
+    seq, quals, sizes = *(np.zeros((len(m1.size), int(size.max(initial=0))), np.uint8) for _ in range(2)), np.zeros(len(m1.size), np.int64)
+    if seq.shape[1]:
+        at = np.arange(seq.shape[1])[None, :]
+        left, inside = at < len1[:, None], at < size[:, None]
+        i1 = np.broadcast_to(np.minimum(at, one.seq.shape[1] - 1), left.shape)
+        i2 = np.clip(at - (len1 - length[own])[:, None], 0, back.shape[1] - 1)
+        for out, x, y in ((seq, one.seq, back), (quals, one.qual, qual)):
+            out[own] = np.where(left, np.take_along_axis(x, i1, 1), np.take_along_axis(y, i2, 1)) * inside
+    sizes[own] = size
+    return Mates(seq, quals, sizes)
 
 
 # ---- adapters ---------------------------------------------------------------------------------

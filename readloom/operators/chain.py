@@ -154,11 +154,10 @@ def process(batch: pa.RecordBatch, o: Options) -> pa.RecordBatch:
             m.resize(np.full(n, top))
         reasons.append(np.where(dimer, DIMER, filter_reason(m, o)))
     if o.merge and paired:
-        again = (out["corrected_bases"] > 0) | (m1.size != searched[0]) | (m2.size != searched[1])
-        f, off, ln = found, offset, length
-        if again.any():
-            f2, off2, ln2, _ = mates.overlap(m1, m2, *limits)
-            f, off, ln = np.where(again, f2, f), np.where(again, off2, off), np.where(again, ln2, ln)
+        again = np.flatnonzero((out["corrected_bases"] > 0) | (m1.size != searched[0]) | (m2.size != searched[1]))
+        f, off, ln = found.copy(), offset.copy(), length.copy()
+        if len(again):
+            f[again], off[again], ln[again], _ = mates.overlap(m1.take(again), m2.take(again), *limits)
         one = mates.merged(m1, m2, f, off, ln)
         why = filter_reason(one, o)
         reasons = [np.where(f, why, r) for r in reasons]

@@ -39,9 +39,13 @@ from r
 """.replace("{ADAPTER1}", KNOWN_ADAPTERS[0]).replace("{ADAPTER2}", KNOWN_ADAPTERS[1])
 
 
+#: Reads that a task makes at most, but for chance: a task's time and memory do not grow with the table.
+READS_OF_A_TASK = 100_000
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (ordinal, name1, seq1, plus1, qual1, name2, seq2, plus2, qual2) of a data folder."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    if orders.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        orders = orders.repartition(cores)  # keys alone are dealt out; a single row group would keep all reads in one task
+    parts = max(spark.sparkContext.defaultParallelism, -(-orders.count() // READS_OF_A_TASK))
+    orders = orders.repartition(parts)  # keys alone are dealt out; splits of a file follow its bytes and row groups, not its rows
     return spark.sql(READS_SQL.replace("from orders", "from {orders}"), orders=orders)

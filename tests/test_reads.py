@@ -175,6 +175,23 @@ def test_bloom_levels_agree_on_small_data(spark):
     assert sorted(dedup.mark_bloom(some, 3).where("duplicate").select("ordinal").collect()) == want and want
 
 
+def test_a_task_makes_a_bounded_number_of_reads(spark, monkeypatch):
+    monkeypatch.setattr("readloom.sources.recipe.READS_OF_A_TASK", 100)
+    sizes = reads(spark, SF).select("ordinal").rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(sizes) == 1500 and max(sizes) <= 120
+
+
+@pytest.mark.parametrize(("least", "most", "percent"), [(1, 5, 20), (3, 0, 0), (4, 40, 60), (30, 5, 20)])
+def test_overlaps_of_repeats_and_short_reads_equal_a_plain_loop(least, most, percent):
+    r = random.Random(least)
+    a = [*random_reads(150, 1, "ACGTNn", 0, 12), *random_reads(100, 2, "AC", 20, 90), *["A" * 70, "AC" * 40, "ACG" * 30, "", "A"]]
+    b = [x.translate(str.maketrans("ACGT", "TGCA"))[::-1][r.randint(0, 8) :] for x in a[:-3]] + random_reads(3, 3, "ACGT", 0, 50)
+    found, offset, length, diff = mates.overlap(batch(a), batch(b), least, most, percent)
+    got = [(int(o), int(n), int(d)) if f else None for f, o, n, d in zip(found, offset, length, diff, strict=True)]
+    want = [plain_overlap(x, y, least, most, percent) for x, y in zip(a, b, strict=True)]
+    assert got == want and any(want)
+
+
 def test_filter_figures_equal_plain_counts_without_expressions_over_bases(spark):
     r = random.Random(5)
     seqs = [*random_reads(300, 5, "ACGTNn"), "", "A", "AA", "ACGT" * 40, None]
