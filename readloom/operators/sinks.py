@@ -55,9 +55,13 @@ def routes(done: DataFrame, o: Options) -> DataFrame:
     return out
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows with `rank`, their place by ordinal from 0: a range-partitioned sort and sums of counts, no single task."""
-    parts = max(2, rows.rdd.getNumPartitions())
+#: Rows that a task sorts, about, where their number is known: its memory does not grow with the table.
+ROWS_OF_A_TASK = 100_000
+
+
+def numbered(rows: DataFrame, total: int = 0) -> DataFrame:
+    """rows, of which there are `total` if that is known, with `rank`, their place by ordinal from 0: a range-partitioned sort and sums of counts, no single task."""
+    parts = max(2, rows.rdd.getNumPartitions(), -(-total // ROWS_OF_A_TASK))
     dealt = rows.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal")
     ranked = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
     runs = ranked.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -66,10 +70,11 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def split_files(rows: DataFrame, o: Options, total: int | None = None) -> DataFrame:
     """rows with `file`, the number of the split they belong to: by lines, or into a number of files by the count of input records."""
-    ranked = numbered(rows)
+    total = total if total is not None else rows.count()
+    ranked = numbered(rows, total)
     if o.split_by_lines:
         return ranked.withColumn("file", 1 + F.floor(F.col("rank") / (o.split_by_lines // 4)))
-    per = max((total if total is not None else rows.count()) // o.split, 1)
+    per = max(total // o.split, 1)
     return ranked.withColumn("file", F.least(F.lit(o.split).cast("long"), 1 + F.floor(F.col("rank") / per)))
 
 

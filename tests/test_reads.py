@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.functions import mates
 from readloom.functions.mates import Mates
@@ -181,6 +182,17 @@ def test_a_task_makes_a_bounded_number_of_reads(spark, monkeypatch):
     assert sum(sizes) == 1500 and max(sizes) <= 120
 
 
+@pytest.mark.parametrize("o", [Options(split_by_lines=1000), Options(split=7)])
+def test_splits_are_numbered_by_tasks_of_bounded_size(spark, monkeypatch, o):
+    monkeypatch.setattr(sinks, "ROWS_OF_A_TASK", 100)
+    kept, own = [], sinks.written
+    monkeypatch.setattr(sinks, "written", lambda *x: kept.append(own(*x)) or kept[-1])
+    placed = sinks.split_files(reads(spark, SF).coalesce(1), o).select("ordinal", "rank", "file", "seq2").toPandas().sort_values("ordinal")
+    assert list(placed["rank"]) == list(range(1500)) and placed["seq2"].notna().all()
+    assert max(r["count"] for r in kept[0].groupBy(F.input_file_name()).count().collect()) <= 300
+    assert list(placed["file"]) == [1 + i // 250 if o.split_by_lines else min(7, 1 + i // (1500 // 7)) for i in range(1500)]
+
+
 @pytest.mark.parametrize(("least", "most", "percent"), [(1, 5, 20), (3, 0, 0), (4, 40, 60), (30, 5, 20)])
 def test_overlaps_of_repeats_and_short_reads_equal_a_plain_loop(least, most, percent):
     r = random.Random(least)
