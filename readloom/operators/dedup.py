@@ -29,8 +29,10 @@ def key() -> Column:
 
 
 def mark_exact(reads: DataFrame) -> DataFrame:
-    """reads with `duplicate`. The least ordinal of each key is found by an aggregation with map-side minima; records are told by ordinal and key, so a key of any number of records is no hot task."""
-    keyed = reads.withColumn("_k", F.sha2(key(), 256))
+    """reads with `duplicate`. The least ordinal of each key is found by an aggregation with map-side minima; records are told by ordinal and key, so a key of any number of records is no hot task.
+
+    Records and digests of their keys are written once, as both sides of the join read them; give no more columns than are wanted."""
+    keyed = written(reads.withColumn("_k", F.unhex(F.sha2(key(), 256))), "keyed")
     first = keyed.groupBy("_k").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
     return keyed.join(first, ["ordinal", "_k"], "left").withColumn("duplicate", F.col("_first").isNull()).select(*reads.columns, "duplicate")
 

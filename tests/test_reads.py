@@ -237,6 +237,12 @@ def test_bloom_query_is_exact_where_bits_meet(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["bloom_dup"](spark, SF).collect())) == want
 
 
+@pytest.mark.parametrize("name", ["dedup_exact", "duplication_rate"])
+def test_exact_duplicates_are_told_of_reads_made_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "qual1" not in plan  # the recipe's bases are not computed for either side of the join
+
+
 def test_duplicates_of_null_sequences(spark):
     some = spark.createDataFrame([(0, None, None), (1, "", None), (2, "AC", None), (3, None, "AC"), (4, "GG", None)], "ordinal long, seq1 string, seq2 string")
     for marked in (dedup.mark_exact(some), dedup.mark_bloom(some), dedup.mark_bloom(some, exact=True)):
